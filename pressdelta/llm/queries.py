@@ -21,9 +21,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_digest
+
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {
