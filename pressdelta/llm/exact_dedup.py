@@ -70,3 +70,10 @@ def exact_dedup(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, wides
     for more in done[1:]:
         out = out.unionByName(more)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_exact_copies(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``exact_dedup`` keeps; all columns."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own = F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_sha")), "left_semi")
