@@ -16,6 +16,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import required
 
 #: Characters encoded at once, and words whose ids a task remembers.
-WINDOW, MEMORY = 1 << 22, 400_000
+WINDOW, MEMORY = 1 << 22, 1_000_000
+#: Longest word that is relaxed together with others.
+LONGEST = 48
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -84,7 +89,11 @@ class PieceModel:
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         #: Words may be cut before a space mark if no piece has one after another character.
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else "(?s).+")
+        #: A line end without a piece of its own is in no piece, so it stands alone.
+        line = "" if any("\n" in p for p in self.ids) else "\n"
+        whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.words = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + "|\n" * bool(line))
+        self.kinds = np.array(self.types)
         order = sorted(self.ids)
         self.numbers = np.array([self.ids[p] for p in order])
         self.lengths = np.array([len(p) for p in order])
@@ -93,6 +102,7 @@ class PieceModel:
         for i, p in enumerate(order):
             self.letters[i, : len(p)] = [ord(c) for c in p]
         self.together: dict[tuple[int, int], bool] = {}
+        self.pairs, self.fits = np.array([np.iinfo(np.int64).max]), np.array([False])  # the same, sorted for whole arrays
         self.known: dict[str, tuple[int, ...]] = {}
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
 
@@ -184,18 +194,73 @@ class PieceModel:
         """Encode new words and remember their ids."""
         start, end, piece, ends = self.edges(words)
         cut = np.searchsorted(start, np.concatenate([[0], ends]))
-        start, end, piece = start.tolist(), end.tolist(), piece.tolist()
-        base = 0
+        lengths = np.array([len(w) for w in words])
+        alone = np.ones(len(words), dtype=bool)
+        if self.kind == BPE:
+            alone = self._relax_together(words, start, end, piece, ends, lengths)
         relax = self._relax_bpe if self.kind == BPE else self._relax_unigram
-        for w, word in enumerate(words):
-            self.known[word] = relax(word, base, start, end, piece, int(cut[w]), int(cut[w + 1]))
-            base += len(word)
-
-    def _relax_bpe(self, word, base, start, end, piece, a, b) -> tuple[int, ...]:
+        for w in np.flatnonzero(alone):
+            a, b, base = cut[w], cut[w + 1], int(ends[w] - lengths[w])
+            self.known[words[w]] = relax(words[w], start[a:b] - base, end[a:b] - base, piece[a:b])
+
+    def _relax_together(self, words, start, end, piece, ends, lengths) -> np.ndarray:
+        """Relax the edges of all words, position by position; True for words left over.
+
+        Left over are very long words and words with characters that have no piece.
+        """
+        word = np.searchsorted(ends, start, side="right")
+        fit = lengths <= LONGEST
+        keep = fit[word]
+        start, end, piece, word = start[keep], end[keep], piece[keep], word[keep]
+        first = ends - lengths + np.arange(len(words))  # a word has one slot more than characters
+        offset = start - (ends - lengths)[word]
+        order = np.argsort(offset, kind="stable")
+        steps = np.searchsorted(offset[order], np.arange(LONGEST + 2))
+        last = np.full(int(ends[-1]) + len(words) + 1, -2, dtype=np.int64)
+        back = np.zeros(len(last), dtype=np.int64)
+        last[first] = -1
+        for s in range(min(LONGEST, int(lengths[fit].max(initial=0)))):
+            e = order[steps[s] : steps[s + 1]]
+            source, target = start[e] + word[e], end[e] + word[e]
+            e = (last[source] != -2) & (last[target] == -2)
+            source, target, p = source[e], target[e], piece[order[steps[s] : steps[s + 1]]][e]
+            right = self._accepts(last[source], p)
+            last[target[right]], back[target[right]] = p[right], source[right]
+        whole = fit & (last[first + lengths] != -2)
+        at = (first + lengths)[whole]
+        owner, floor = np.flatnonzero(whole), first[whole]
+        found_word, found_piece = [], []
+        while len(at):
+            found_word.append(owner)
+            found_piece.append(last[at])
+            at = back[at]
+            more = at > floor
+            at, owner, floor = at[more], owner[more], floor[more]
+        if found_word:
+            owner, ids = np.concatenate(found_word[::-1]), np.concatenate(found_piece[::-1])
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(len(words) + 1)).tolist()
+            ids = ids[order].tolist()
+            for w in np.flatnonzero(whole).tolist():
+                self.known[words[w]] = tuple(ids[cuts[w] : cuts[w + 1]])
+        return ~whole
+
+    def _accepts(self, before: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Whether each piece may follow the one before it, -1 being the start of a word."""
+        keys = before * len(self.pieces) + p
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        new = np.unique(keys[self.pairs[at] != keys])
+        if len(new):
+            right = [self.alone(k % len(self.pieces)) if k < 0 else self.compatible(*divmod(k, len(self.pieces))) for k in new.tolist()]
+            where = np.searchsorted(self.pairs, new)
+            self.pairs, self.fits = np.insert(self.pairs, where, new), np.insert(self.fits, where, right)
+            at = np.searchsorted(self.pairs, keys)
+        return self.fits[at]
+
+    def _relax_bpe(self, word, start, end, piece) -> tuple[int, ...]:
         n = len(word)
         last: list = [None] * (n + 1)  # piece that ends here, and where it starts
-        for e in range(a, b):
-            s, t, p = start[e] - base, end[e] - base, piece[e]
+        for s, t, p in zip(start.tolist(), end.tolist(), piece.tolist(), strict=True):
             if s and last[s] is None:  # a character without a piece ends here
                 self._stranger(last, s)
             if last[t] is None:
@@ -218,15 +283,15 @@ class PieceModel:
             last[at] = (-1, at - 1)
             at -= 1
 
-    def _relax_unigram(self, word, base, start, end, piece, a, b) -> tuple[int, ...]:
-        n = len(word)
+    def _relax_unigram(self, word, start, end, piece) -> tuple[int, ...]:
+        n, start, end, piece = len(word), start.tolist(), end.tolist(), piece.tolist()
         best: list = [(0.0, -1, 0), *[None] * n]
-        e = a
+        e = 0
         for s in range(n):
             score = best[s][0]
             single = False
-            while e < b and start[e] - base == s:
-                t, p = end[e] - base, piece[e]
+            while e < len(start) and start[e] == s:
+                t, p = end[e], piece[e]
                 single |= t == s + 1
                 if best[t] is None or score + self.scores[p] > best[t][0]:
                     best[t] = (score + self.scores[p], p, s)
@@ -248,11 +313,11 @@ class PieceModel:
         if len(self.known) > MEMORY:
             self.known.clear()
         split = [self.words.findall(self.normalize(t)) for t in texts]
-        fresh = {w for words in split for w in words if w not in self.known}
+        fresh = set().union(*split) - self.known.keys()
         if fresh:
             self.learn(sorted(fresh))
         known = self.known
-        return [np.fromiter((i for w in words for i in known[w]), dtype=np.int32) for words in split]
+        return [np.array(list(chain.from_iterable(map(known.__getitem__, words))), dtype=np.int32) for words in split]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text of any length, a window of words at a time."""
@@ -277,8 +342,12 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are joined and read as UTF-8, control pieces vanish."""
+        ids = np.asarray(ids, dtype=np.int64)
+        if (self.kinds[ids] == NORMAL).all():
+            text = "".join(map(self.pieces.__getitem__, ids.tolist())).replace(SPACE, " ")
+            return text[1:] if self.prefix and text.startswith(" ") else text
         out: list[bytes] = []
-        for i in ids:
+        for i in ids.tolist():
             kind = self.types[i]
             if kind == BYTE:
                 out.append(bytes([int(self.pieces[i][3:5], 16)]))
@@ -290,6 +359,14 @@ class PieceModel:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def shared(data: bytes) -> PieceModel:
+    """The model of these bytes, kept with what it has learned for later tasks of this process."""
+    store = sys.modules.setdefault("_pieces_of_this_process", types.ModuleType("_pieces_of_this_process"))
+    if getattr(store, "data", None) != data:
+        store.model, store.data = PieceModel(data), data
+    return store.model
+
+
 def load(path: str) -> PieceModel:
     with open(path, "rb") as f:
         return PieceModel(f.read())
@@ -313,7 +390,7 @@ def encode(docs: DataFrame, model_path: str, batch_chars: int = WINDOW) -> DataF
         data = f.read()
 
     def run(batches):
-        model = PieceModel(data)
+        model = shared(data)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
@@ -324,7 +401,7 @@ def encode(docs: DataFrame, model_path: str, batch_chars: int = WINDOW) -> DataF
                     to += 1
                 part = texts[at:to]
                 ids = [model.encode(part[0])] if len(part) == 1 else model.encode_batch(part)
-                same = [model.decode(i.tolist()) == t for i, t in zip(ids, part, strict=True)]
+                same = [model.decode(i) == t for i, t in zip(ids, part, strict=True)]
                 counts = np.array([len(i) for i in ids], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))

@@ -51,6 +51,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii_digest
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality": op8_quality,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
 }
 
