@@ -308,13 +308,13 @@ _WIRE = _ctes(wire=WIRE)[:-1] + "," + _pair_sql("wire") + "," + _NUMBERS + "," +
 @query(_WIRE + " SELECT * FROM ndiff")
 def numeric_differences(spark, sf_dir):
     w = view(spark, sf_dir, "wire")
-    return TP.numeric_differences(TP.pairs(w, "high"), TP.numeric_table(w))
+    return TP.numeric_differences(TP.pairs(w, "high"), w)
 
 
 @query(_WIRE + " SELECT * FROM odiff")
 def opposite_differences(spark, sf_dir):
     w = view(spark, sf_dir, "wire")
-    return TP.opposite_differences(TP.pairs(w, "high"), TP.opposite_table(w))
+    return TP.opposite_differences(TP.pairs(w, "high"), w)
 
 
 _ALL = _WIRE + f""",
@@ -335,20 +335,19 @@ def cross_media_differences(spark, sf_dir):
 def pending_analysis_flagship(spark, sf_dir):
     """High pairs, their differences, the peer as evidence, and what becomes visible."""
     w = view(spark, sf_dir, "wire")
-    found = TP.differences(w).select("left_id", "right_id", "summary").withColumn("finding_id", F.concat_ws("-", "left_id", "right_id"))
-    evidence = FI.topic_evidence(found, w).withColumn("finding_id", F.concat_ws("-", "left_id", "right_id"))
-    typed = found.withColumn("finding_type", F.lit("material_cross_media_difference"))
-    resolved = FI.resolve(typed, evidence, evidence.select("finding_id", "url"))
-    return resolved.join(evidence.select("finding_id", "url", "title", "excerpt"), "finding_id").select("left_id", "right_id", "summary", "url", "title", "excerpt", "evidence_status", "visible")
+    rows = FI.topic_evidence(TP.differences(w), w, "summary")
+    nested = F.array(F.struct("url", "excerpt", "relation", "status", "source_kind"))
+    findings = rows.withColumns({"finding_type": F.lit("material_cross_media_difference"), "evidence": nested, "related": F.array("url")})
+    return FI.resolve_nested(findings).select("left_id", "right_id", "summary", "url", "title", "excerpt", "evidence_status", "visible")
 
 
 @query(_ALL + ", p AS (SELECT count(*) AS n FROM pairs WHERE confidence = 'high') SELECT (SELECT n FROM p) AS high_pairs, count(*) AS candidates, count(*) FILTER (WHERE kind = 'numeric') AS numeric_candidates, (SELECT count(*) FROM num) AS claims FROM diff")
 def analysis_summary(spark, sf_dir):
     w = view(spark, sf_dir, "wire")
-    high = TP.pairs(w, "high")
-    counts = TP.differences(w, high).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("kind") == "numeric").alias("numeric_candidates"))
+    kinds = TP.first_difference(high := TP.pairs(w, "high"), TP.mentions(w)).select("left_id", "right_id", "kind")
+    counts = high.join(kinds, ["left_id", "right_id"], "left").agg(F.count(F.lit(1)).alias("high_pairs"), F.count("kind").alias("candidates"), F.count_if(F.col("kind") == "numeric").alias("numeric_candidates"))
     claims = TP.numeric_table(w).agg(F.count(F.lit(1)).alias("claims"))
-    return high.agg(F.count(F.lit(1)).alias("high_pairs")).crossJoin(counts).crossJoin(claims)  # one row each
+    return counts.crossJoin(claims)  # one row each
 
 
 # -- claims, evidence, findings ---------------------------------------------------------
