@@ -246,17 +246,8 @@ def _finish(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if flagged.is_valid:
                     _, anchor, first, last = runs(raw, length, gram)
                     on = _member(np.sort(np.asarray(flagged.values)), anchor)
-                    kept = {(k["first"], k["mark"]): k["kept"] for k in batch.column(4)[i].as_py() or []}
-                    marks = _marks(raw, first[on], last[on], length)
-                    gone = np.zeros(len(raw) + 1, dtype=np.int32)
-                    for a, b, mark in zip(first[on].tolist(), last[on].tolist(), marks, strict=True):
-                        lives = kept.get((a, mark), [])
-                        if lives is not None:
-                            whole = np.ones(b - a + 1, dtype=bool)
-                            whole[lives] = False
-                            at = np.flatnonzero(whole) + a
-                            gone[at] += 1
-                            gone[at + length] -= 1
+                    first, last = first[on], last[on]
+                    gone = _gone(raw, first, last, batch.column(4)[i].values, length)
                     covered = np.cumsum(gone[:-1]) > 0
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(int(covered.sum()))
@@ -268,15 +259,42 @@ def _finish(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _marks(raw: bytes, first: np.ndarray, last: np.ndarray, length: int) -> list[int]:
-    """A hash of each run's bytes, to tell rows apart that repeat a doc_id with another text."""
-    return [int.from_bytes(hashlib.blake2b(raw[a : b + length], digest_size=8).digest(), "little", signed=True) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+def _gone(raw: bytes, first: np.ndarray, last: np.ndarray, lives: pa.StructArray | None, length: int) -> np.ndarray:
+    """Steps of the number of removed strings over each byte; a flagged run goes unless it lives.
+
+    A run's mark tells rows apart that repeat a doc_id with another text.
+    """
+    whole = np.ones(len(first), dtype=bool)
+    gone = np.zeros(len(raw) + 1, dtype=np.int32)
+    if lives is not None and len(lives):
+        starts, marks, kept = lives.field("first").to_numpy(), lives.field("mark").to_numpy(), lives.field("kept")
+        at = np.minimum(np.searchsorted(first, starts), len(first) - 1)
+        full = kept.is_null().to_numpy(zero_copy_only=False)
+        offsets, values = kept.offsets.to_numpy(), kept.values.to_numpy()
+        for k in np.flatnonzero(first[at] == starts).tolist():
+            r = at[k]
+            a, b = int(first[r]), int(last[r])
+            if _mark(raw[a : b + length]) == marks[k]:
+                whole[r] = False
+                if not full[k]:
+                    dead = np.ones(b - a + 1, dtype=bool)
+                    dead[values[offsets[k] : offsets[k + 1]]] = False
+                    dead = np.flatnonzero(dead) + a
+                    gone[dead] += 1
+                    gone[dead + length] -= 1
+    np.add.at(gone, first[whole], 1)
+    np.add.at(gone, last[whole] + length, -1)
+    return gone
+
+
+def _mark(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def _with_marks(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            marks = [int.from_bytes(hashlib.blake2b(d, digest_size=8).digest(), "little", signed=True) for d in batch.column(batch.num_columns - 1).to_pylist()]
+            marks = [_mark(d) for d in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "mark"])
 
     return rows.mapInArrow(run, "h long, off int, doc long, first long, size long, data binary, mark long")
