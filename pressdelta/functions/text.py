@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocabulary as V
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
