@@ -230,7 +230,7 @@ def _close(fps: np.ndarray, group: np.ndarray, tau: int) -> tuple[np.ndarray, np
     shift = 1
     while len(at := at[at + shift < len(fps)]) and len(at := at[group[at] == group[at + shift]]):
         a, b = fps[at], fps[at + shift]
-        near = (np.bitwise_count(a ^ b) <= tau) & (a != b)
+        near = (np.bitwise_count((a ^ b).view(np.uint64)) <= tau) & (a != b)  # of signed numbers it counts the absolute value
         if near.any():
             found_a.append(a[near])
             found_b.append(b[near])
