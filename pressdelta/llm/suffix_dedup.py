@@ -7,7 +7,9 @@ content alone: the smallest hash among the ``gram``-byte tokens that lie inside
 string, the leftmost of equals. Equal strings have equal anchors at equal offsets, and
 consecutive suffixes of a document share one, so a run of some 35 suffixes is one row.
 
-1. Anchors are counted over all documents. A suffix whose anchor occurs once is unique.
+1. Anchors meet by hash, over all documents. A suffix whose anchor occurs once is unique.
+   What occurs twice in one batch is known at once and sends one witness, so a common
+   anchor has a row a batch there and no more.
 2. Runs with a repeated anchor carry their bytes. Runs of equal bytes are folded to the
    earliest one with partial aggregation; all others are removed as a whole.
 3. What is left of an anchor, runs that differ somewhere, is range-partitioned by the
@@ -25,14 +27,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, required
 
 LENGTH, GRAM, HOT = 100, 32, 1024
-#: Suffix positions handled at once, so texts may have any length.
-STRETCH = 1 << 22
+#: Suffix positions handled at once, so texts may have any length; short texts are handled together.
+STRETCH, SLAB = 1 << 22, 1 << 18
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _POSITION = np.uint64((1 << 23) - 1)
@@ -71,40 +74,131 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, anchor, first suffix, last suffix) of every run, in order."""
-    n = len(raw) - length + 1
-    if n <= 0:
-        return (np.zeros(0, dtype=np.int64),) * 4
+def _cut(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    """Runs of texts that lie one after the other in ``data`` and end at ``ends``."""
+    if len(data) < length:
+        return (np.zeros(0, dtype=np.int64),) * 5
+    hashes = _tokens(data, gram)
+    ranked = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
+    anchor = (_sliding_min(ranked, length - gram + 1) & _POSITION).astype(np.int64)
+    over = np.zeros(len(data) + 1, dtype=np.int32)  # strings that reach over an end
+    np.add.at(over, np.maximum(ends - length + 1, 0), 1)
+    np.add.at(over, ends, -1)
+    inside = np.cumsum(over[: len(anchor)]) == 0
+    joined = inside[1:] & inside[:-1] & (anchor[1:] == anchor[:-1])
+    first = np.flatnonzero(inside & ~np.concatenate([[False], joined]))
+    last = np.flatnonzero(inside & ~np.concatenate([joined, [False]]))
+    mark = np.zeros(len(first), dtype=np.uint64)
+    for k in range(0, 2 * length - gram, gram):  # tokens that cover the whole run
+        mark = (mark ^ hashes[np.minimum(first + k, last + length - gram)]) * _MIX[0]
+        mark ^= mark >> np.uint64(31)
+    return hashes[anchor[first]].view(np.int64), anchor[first], first, last, mark.view(np.int64)
+
+
+def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor hash, anchor, first suffix, last suffix, mark) of every run, in order.
+
+    The mark is a hash of the run's bytes: it tells rows apart that repeat a doc_id.
+    """
+    if len(data) <= STRETCH:
+        return _cut(data, ends, length, gram)
     parts = []
-    data = np.frombuffer(raw, dtype=np.uint8)
-    for at in range(0, n, STRETCH):
-        hashes = _tokens(data[at : min(at + STRETCH, n) + length - 1], gram)
-        ranked = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
-        anchor = (_sliding_min(ranked, length - gram + 1) & _POSITION).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        last = np.concatenate([first[1:], [len(anchor)]]) - 1
-        parts.append((hashes[anchor[first]].view(np.int64), anchor[first] + at, first + at, last + at))
+    for at in range(0, len(data) - length + 1, STRETCH):  # one long text
+        to = min(at + STRETCH + length - 1, len(data))
+        h, anchor, first, last, mark = _cut(data[at:to], np.array([to - at]), length, gram)
+        parts.append((h, anchor + at, first + at, last + at, mark))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _raw(text) -> bytes:
-    return (text.as_py() or "").encode("utf-8", "surrogatepass")
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column, one after the other, and their bounds; null is empty."""
+    column = pc.fill_null(column.cast(pa.large_string()).cast(pa.large_binary()), b"")
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _slabs(batch: pa.RecordBatch, text: int):
+    """(rows from, rows to, bytes, starts, ends): texts of about ``SLAB`` bytes, or one longer text."""
+    data, bounds = _bytes(batch.column(text))
+    at = 0
+    while at < batch.num_rows:
+        to = max(int(np.searchsorted(bounds, bounds[at] + SLAB, side="right")) - 1, at + 1)
+        own = bounds[at : to + 1] - bounds[at]
+        yield at, to, data[bounds[at] : bounds[to]], own[:-1], own[1:]
+        at = to
+
+
+def _flags(lists: pa.ListArray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions that the lists of all texts name, as one array of booleans.
+
+    Rows that repeat a doc_id share a list, so a position may lie beyond the own text.
+    """
+    out = np.zeros(ends[-1], dtype=bool)
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    at = np.repeat(starts, counts) + lists.flatten().to_numpy()
+    out[at[at < np.repeat(ends, counts)]] = True
+    return out
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Anchors (h, doc, at), of which those met twice in a batch are sure to be repeated.
+
+    They are spread by ``k``; one row without a position stands for them at their hash,
+    so a hash has at most one row a batch there, however common it is.
+    """
+
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                h, anchor, _, _ = runs(_raw(batch.column(1)[i]), length, gram)
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), batch.column(0)[i].as_py())), pa.array(anchor)], ["h", "doc", "at"])
+            docs_ = batch.column(0).to_numpy()
+            for a, b, data, starts, ends in _slabs(batch, 1):
+                h, anchor, first, _, _ = runs(data, ends, length, gram)
+                own = np.searchsorted(ends, first, side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(docs_[a:b][own]), pa.array(anchor - starts[own])], ["h", "doc", "at"])
+
+    def dealt(batches):
+        for batch in _packed(run, 1 << 18)(batches):
+            h, doc, at = (batch.column(i).to_numpy() for i in range(3))
+            order = np.argsort(h)
+            h, doc, at = h[order], doc[order], at[order]
+            same = h[1:] == h[:-1]
+            sure = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            k = np.where(sure, ((h + doc * 31 + at).view(np.uint64) * _MIX[2]).view(np.int64), h)
+            witness = np.flatnonzero(sure & ~np.concatenate([[False], same]))
+            none = np.full(len(witness), -1)
+            cols = [np.concatenate(c) for c in ((k, h[witness]), (doc, none), (at, none), (sure, np.zeros(len(witness), dtype=bool)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "doc", "at", "sure"])
+
+    return docs.mapInArrow(dealt, "k long, doc long, at long, sure boolean")
+
+
+def _repeated(anchors: DataFrame) -> DataFrame:
+    """(doc, at) of anchors that are not alone with their hash; rows are met in order of it."""
 
-    return docs.mapInArrow(_packed(run), "h long, doc long, at long")
+    def run(batches):
+        before, waits = None, None  # hash of the last row, and the row itself while it seems alone
+        for batch in batches:
+            k, doc, at = (batch.column(i).to_numpy() for i in range(3))
+            sure = batch.column(3).to_numpy(zero_copy_only=False)
+            out = [(doc[sure], at[sure])]
+            k, doc, at = k[~sure], doc[~sure], at[~sure]
+            if len(k):
+                same = k[1:] == k[:-1]
+                again = np.concatenate([[k[0] == before], same]) | np.concatenate([same, [False]])
+                if waits is not None and k[0] == before:
+                    out.append(waits)
+                before, waits = k[-1], None if again[-1] else (doc[-1:].copy(), at[-1:].copy())
+                out.append((doc[again], at[again]))
+            doc, at = (np.concatenate(c) for c in zip(*out, strict=True))
+            real = at >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(doc[real]), pa.array(at[real])], ["doc", "at"])
+
+    return anchors.repartition("k").sortWithinPartitions("k").mapInArrow(run, "doc long, at long")
 
 
 def _packed(run, rows: int = 1 << 16):
-    """Few large batches instead of one for each document."""
+    """Few large batches instead of one for each slab."""
 
     def packed(batches):
         held, n = [], 0
@@ -120,29 +214,22 @@ def _packed(run, rows: int = 1 << 16):
     return packed
 
 
-def _member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(values), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
-    return sorted_values[at] == values
-
-
 def _contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Runs at repeated anchors with their bytes: ``docs(doc, text, at array)``."""
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = _raw(batch.column(1)[i])
-                h, anchor, first, last = runs(raw, length, gram)
-                on = _member(np.sort(np.asarray(batch.column(2)[i].values)), anchor)
-                if on.any():
-                    first, last = first[on], last[on]
-                    data = [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    doc = np.full(len(data), batch.column(0)[i].as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array((anchor[on] - first).astype(np.int32)), pa.array(data, pa.binary()), pa.array(doc), pa.array(first)], ["h", "off", "data", "doc", "first"])
+            docs_ = batch.column(0).to_numpy()
+            for a, b, data, starts, ends in _slabs(batch, 1):
+                h, anchor, first, last, mark = runs(data, ends, length, gram)
+                on = _flags(batch.column(2).slice(a, b - a), starts, ends)[anchor]
+                h, anchor, first, last, mark = h[on], anchor[on], first[on], last[on], mark[on]
+                raw = data.tobytes()
+                strings = [raw[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                own = np.searchsorted(ends, first, side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array((anchor - first).astype(np.int32)), pa.array(mark), pa.array(strings, pa.binary()), pa.array(docs_[a:b][own]), pa.array(first - starts[own])], ["h", "off", "mark", "data", "doc", "first"])
 
-    return docs.mapInArrow(_packed(run, 1 << 14), "h long, off int, data binary, doc long, first long")
+    return docs.mapInArrow(_packed(run, 1 << 14), "h long, off int, mark long, data binary, doc long, first long")
 
 
 def multikey_groups(words: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -223,10 +310,13 @@ def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
             doc, first, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             data = batch.column(3).to_pylist()
             for at in range(0, len(data), 512):
-                _, row, offset, _ = _spread(data[at : at + 512], length)
+                _, row, offset, start = _spread(data[at : at + 512], length)
                 row += at
-                suffix = [data[r][o : o + length] for r, o in zip(row.tolist(), offset.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(suffix, pa.binary()), pa.array(doc[row]), pa.array(first[row]), pa.array(mark[row]), pa.array(offset.astype(np.int32))], ["suffix", "doc", "first", "mark", "off"])
+                joined = np.frombuffer(b"".join(data[at : at + 512]), dtype=np.uint8)
+                suffix = np.lib.stride_tricks.sliding_window_view(joined, length)[start]
+                bounds = np.arange(len(row) + 1, dtype=np.int32) * np.int32(length)
+                strings = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(suffix)])
+                yield pa.RecordBatch.from_arrays([strings, pa.array(doc[row]), pa.array(first[row]), pa.array(mark[row]), pa.array(offset.astype(np.int32))], ["suffix", "doc", "first", "mark", "off"])
 
     one = rows.select("doc", "first", "mark", "data").mapInArrow(run, "suffix binary, doc long, first long, mark long, off int")
     own = F.struct("doc", (F.col("first") + F.col("off")).alias("at"))
@@ -238,66 +328,47 @@ def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
 def _finish(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-            for i in range(batch.num_rows):
-                raw = _raw(batch.column(2)[i])
-                covered = np.zeros(len(raw), dtype=bool)
-                flagged = batch.column(3)[i]
-                if flagged.is_valid:
-                    _, anchor, first, last = runs(raw, length, gram)
-                    on = _member(np.sort(np.asarray(flagged.values)), anchor)
-                    first, last = first[on], last[on]
-                    gone = _gone(raw, first, last, batch.column(4)[i].values, length)
-                    covered = np.cumsum(gone[:-1]) > 0
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(int(covered.sum()))
-                out["n_spans"].append(int((covered & ~np.concatenate([[False], covered[:-1]])).sum()) if len(raw) else 0)
-                left = np.frombuffer(raw, dtype=np.uint8)[~covered].tobytes() if covered.any() else raw
-                out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()]], ["doc_id", *out])
-
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _gone(raw: bytes, first: np.ndarray, last: np.ndarray, lives: pa.StructArray | None, length: int) -> np.ndarray:
-    """Steps of the number of removed strings over each byte; a flagged run goes unless it lives.
-
-    A run's mark tells rows apart that repeat a doc_id with another text.
-    """
-    whole = np.ones(len(first), dtype=bool)
-    gone = np.zeros(len(raw) + 1, dtype=np.int32)
-    if lives is not None and len(lives):
-        starts, marks, kept = lives.field("first").to_numpy(), lives.field("mark").to_numpy(), lives.field("kept")
-        at = np.minimum(np.searchsorted(first, starts), len(first) - 1)
-        full = kept.is_null().to_numpy(zero_copy_only=False)
-        offsets, values = kept.offsets.to_numpy(), kept.values.to_numpy()
-        for k in np.flatnonzero(first[at] == starts).tolist():
-            r = at[k]
-            a, b = int(first[r]), int(last[r])
-            if _mark(raw[a : b + length]) == marks[k]:
-                whole[r] = False
-                if not full[k]:
-                    dead = np.ones(b - a + 1, dtype=bool)
-                    dead[values[offsets[k] : offsets[k + 1]]] = False
-                    dead = np.flatnonzero(dead) + a
-                    gone[dead] += 1
-                    gone[dead + length] -= 1
-    np.add.at(gone, first[whole], 1)
-    np.add.at(gone, last[whole] + length, -1)
-    return gone
-
-
-def _mark(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-
-
-def _with_marks(rows: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            marks = [_mark(d) for d in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "mark"])
-
-    return rows.mapInArrow(run, "h long, off int, doc long, first long, size long, data binary, mark long")
+            for a, b, data, starts, ends in _slabs(batch, 2):
+                part = batch.slice(a, b - a)
+                counts = np.zeros(len(ends), dtype=np.int64)
+                spans, covered = counts, np.zeros(len(data), dtype=bool)
+                if part.column(3).null_count < len(part):
+                    covered = _covered(data, starts, ends, part.column(3), part.column(4), length, gram)
+                    begins = covered & ~np.concatenate([[False], covered])[: len(covered)]
+                    begins[starts[ends > starts]] = covered[starts[ends > starts]]
+                    counts, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([starts[:1], ends])]) for x in (covered, begins))
+                digests = []
+                for x, y, n in zip(starts.tolist(), ends.tolist(), counts.tolist(), strict=True):
+                    left = data[x:y][~covered[x:y]] if n else data[x:y]
+                    digests.append(hashlib.sha256(left).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - starts), pa.array(counts), pa.array(spans), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return docs.mapInArrow(_packed(run, 1 << 12), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _covered(data, starts, ends, flagged: pa.ListArray, lives: pa.ListArray, length: int, gram: int) -> np.ndarray:
+    """Bytes under a removed string: all of a flagged run go but those that live."""
+    _, anchor, first, last, mark = runs(data, ends, length, gram)
+    on = _flags(flagged, starts, ends)[anchor]
+    first, last, mark = first[on], last[on], mark[on]
+    counts = pc.fill_null(pc.list_value_length(lives), 0).to_numpy()
+    rows = lives.flatten()
+    whole, alive = np.ones(len(first), dtype=bool), np.zeros(0, dtype=np.int64)
+    if len(rows) and len(first):
+        kept = rows.field("kept")
+        start = np.repeat(starts, counts) + rows.field("first").to_numpy()
+        at = np.minimum(np.searchsorted(first, start), len(first) - 1)
+        own = (start < np.repeat(ends, counts)) & (first[at] == start) & (mark[at] == rows.field("mark").to_numpy())
+        whole[at[own & kept.is_null().to_numpy(zero_copy_only=False)]] = False
+        sizes = pc.fill_null(pc.list_value_length(kept), 0).to_numpy()
+        alive = (np.repeat(start, sizes) + kept.flatten().to_numpy())[np.repeat(own, sizes)]
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[first[whole]] += 1
+    np.add.at(edge, last[whole] + 1, -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    gone[alive] = False
+    total = np.concatenate([np.zeros(length, dtype=np.int64), np.cumsum(gone)])
+    return total[length:] > total[:-length]
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -311,16 +382,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     result; other columns are ignored.
     """
     base = required(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), "doc_id", "text")
-    anchors = _anchors(base.select("doc", "text"), length, gram)
-    counts = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    repeated = materialize(anchors.join(counts, "h").select("doc", "at"), "repeated")
+    repeated = _repeated(_anchors(base.select("doc", "text"), length, gram))
     flagged = materialize(repeated.groupBy("doc").agg(F.collect_list("at").alias("at")), "flagged")
-    discard(repeated)
     contexts = _contexts(base.select("doc", "text").join(flagged, "doc"), length, gram)
-    firsts = contexts.groupBy("h", "off", "data").agg(F.min(F.struct("doc", "first")).alias("e"))
-    reps = materialize(firsts.select("h", "off", "e.doc", "e.first", "data"), "runs")
+    firsts = contexts.groupBy("h", "off", "mark", "data").agg(F.min(F.struct("doc", "first")).alias("e"))
+    reps = materialize(firsts.select("h", "off", "mark", "e.doc", "e.first", "data"), "runs")
     sizes = reps.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    marked = materialize(_with_marks(reps.join(sizes, "h").select("h", "off", "doc", "first", "size", "data")), "marked")
+    marked = materialize(reps.join(sizes, "h").select("h", "off", "doc", "first", "size", "mark", "data"), "marked")
     discard(reps)
     alone = marked.where("size = 1").select("doc", "first", "mark", F.lit(None).cast("array<int>").alias("kept"))
     some = marked.where(f"size > 1 AND size <= {hot}").withColumn("lead", F.expr("substring(data, off + 1, 16)"))

@@ -286,6 +286,29 @@ def test_suffix_dedup_equals_brute_force(spark, edge, empty, hot):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_rows_that_repeat_an_id(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    passage, long = " ".join(words[:60]), " ".join(words)
+    rows = [(1, long), (2, "short " + passage), (2, passage[:150]), (2, "x" + long[::-1]), (None, passage), (None, long), (3, None), (3, passage + "é"), (4, "y" * 700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_removal([(i, t) for i, t in rows if i not in (2, None)] + [(5, passage)], 100)
+    alone = spark.createDataFrame([r for r in rows if r[0] not in (2, None)] + [(5, passage)], "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in suffix_dedup.suffix_dedup(alone).collect()) == want
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.suffix_dedup(frame).collect()}
+    assert len(got) == len(rows) and got[None, len(long)] == len(long) and got[1, len(long)] == 0 == got[2, len(long) + 1]
+    data, cut = np.frombuffer(long.encode(), dtype=np.uint8), np.array([500, 520, len(long)])
+    whole = [c.tolist() for c in suffix_dedup.runs(data, cut)]
+    pieces_ = [suffix_dedup.runs(data[a:b], np.array([b - a])) for a, b in ((0, 500), (500, 520), (520, len(long)))]
+    shifted = [[x + a * (c in (1, 2, 3)) for a, p in zip((0, 500, 520), pieces_, strict=True) for x in p[c].tolist()] for c in range(5)]
+    assert whole == shifted
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 64)
+    expanded = lambda r: [(h, a) for h, a, x, y in zip(*(c.tolist() for c in r[:4]), strict=True) for _ in range(y - x + 1)]
+    cut_up = expanded(suffix_dedup.runs(data, np.array([len(long)])))
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 1 << 22)
+    assert cut_up == expanded(suffix_dedup.runs(data, np.array([len(long)])))
+
+
 def test_multikey_groups():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 400, dtype=np.uint8)
