@@ -18,7 +18,6 @@ import re
 import struct
 import sys
 import types
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import required
 
-#: Characters encoded at once, and words whose ids a task remembers.
-WINDOW, MEMORY = 1 << 22, 1_000_000
+#: Characters encoded at once, characters of one suffix array, and words and pairs of pieces that a process remembers.
+WINDOW, JOINED, MEMORY = 1 << 22, 1 << 18, 1_000_000
 #: Longest word that is relaxed together with others.
 LONGEST = 48
 SPACE = "▁"
@@ -93,7 +92,8 @@ class PieceModel:
         line = "" if any("\n" in p for p in self.ids) else "\n"
         whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + "|\n" * bool(line))
-        self.kinds = np.array(self.types)
+        spelled = {UNKNOWN: " ⁇ ".encode(), CONTROL: b""}
+        self.spelled = [bytes([int(p[3:5], 16)]) if t == BYTE else spelled.get(t, p.encode("utf-8")) for p, t in zip(self.pieces, self.types, strict=True)]
         order = sorted(self.ids)
         self.numbers = np.array([self.ids[p] for p in order])
         self.lengths = np.array([len(p) for p in order])
@@ -103,7 +103,7 @@ class PieceModel:
             self.letters[i, : len(p)] = [ord(c) for c in p]
         self.together: dict[tuple[int, int], bool] = {}
         self.pairs, self.fits = np.array([np.iinfo(np.int64).max]), np.array([False])  # the same, sorted for whole arrays
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
 
     def normalize(self, text: str) -> str:
@@ -161,7 +161,7 @@ class PieceModel:
             after[:-depth] = rank[depth:] if depth < n else 0
             rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
             depth *= 2
-        suffixes = np.argsort(rank, kind="stable")
+        suffixes = np.argsort(rank)
         padded = np.concatenate([text, np.full(self.deepest + 1, -1)])
         low, high = np.zeros(len(self.numbers), dtype=np.int64), np.full(len(self.numbers), n, dtype=np.int64)
         for d in range(self.deepest):
@@ -187,7 +187,7 @@ class PieceModel:
         piece = np.repeat(self.numbers, count)
         inside = end <= ends[np.searchsorted(ends, start, side="right")]
         start, end, piece = start[inside], end[inside], piece[inside]
-        order = np.lexsort((end, start))
+        order = np.argsort(start * (self.deepest + 1) + end - start)  # no two edges agree in both
         return start[order], end[order], piece[order], ends
 
     def learn(self, words: list[str]) -> None:
@@ -201,7 +201,7 @@ class PieceModel:
         relax = self._relax_bpe if self.kind == BPE else self._relax_unigram
         for w in np.flatnonzero(alone):
             a, b, base = cut[w], cut[w + 1], int(ends[w] - lengths[w])
-            self.known[words[w]] = relax(words[w], start[a:b] - base, end[a:b] - base, piece[a:b])
+            self.known[words[w]] = np.array(relax(words[w], start[a:b] - base, end[a:b] - base, piece[a:b]), dtype=np.int32).tobytes()
 
     def _relax_together(self, words, start, end, piece, ends, lengths) -> np.ndarray:
         """Relax the edges of all words, position by position; True for words left over.
@@ -214,7 +214,7 @@ class PieceModel:
         start, end, piece, word = start[keep], end[keep], piece[keep], word[keep]
         first = ends - lengths + np.arange(len(words))  # a word has one slot more than characters
         offset = start - (ends - lengths)[word]
-        order = np.argsort(offset, kind="stable")
+        order = np.argsort(offset.astype(np.int16), kind="stable")
         steps = np.searchsorted(offset[order], np.arange(LONGEST + 2))
         last = np.full(int(ends[-1]) + len(words) + 1, -2, dtype=np.int64)
         back = np.zeros(len(last), dtype=np.int64)
@@ -240,9 +240,9 @@ class PieceModel:
             owner, ids = np.concatenate(found_word[::-1]), np.concatenate(found_piece[::-1])
             order = np.argsort(owner, kind="stable")
             cuts = np.searchsorted(owner[order], np.arange(len(words) + 1)).tolist()
-            ids = ids[order].tolist()
+            raw = ids[order].astype(np.int32).tobytes()
             for w in np.flatnonzero(whole).tolist():
-                self.known[words[w]] = tuple(ids[cuts[w] : cuts[w + 1]])
+                self.known[words[w]] = raw[4 * cuts[w] : 4 * cuts[w + 1]]
         return ~whole
 
     def _accepts(self, before: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -309,15 +309,25 @@ class PieceModel:
     # -- texts ------------------------------------------------------------------
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text. New words of the whole batch share one suffix array."""
+        """Ids of every text. New words of the whole batch share suffix arrays of bounded size."""
         if len(self.known) > MEMORY:
             self.known.clear()
+        if len(self.together) > MEMORY:
+            self.together.clear()
+            self.pairs, self.fits = self.pairs[-1:], self.fits[-1:]
         split = [self.words.findall(self.normalize(t)) for t in texts]
         fresh = set().union(*split) - self.known.keys()
-        if fresh:
-            self.learn(sorted(fresh))
+        held, size = [], 0
+        for word in sorted(fresh):
+            if held and size + len(word) > JOINED:
+                self.learn(held)
+                held, size = [], 0
+            held.append(word)
+            size += len(word)
+        if held:
+            self.learn(held)
         known = self.known
-        return [np.array(list(chain.from_iterable(map(known.__getitem__, words))), dtype=np.int32) for words in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in split]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text of any length, a window of words at a time."""
@@ -342,20 +352,8 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are joined and read as UTF-8, control pieces vanish."""
-        ids = np.asarray(ids, dtype=np.int64)
-        if (self.kinds[ids] == NORMAL).all():
-            text = "".join(map(self.pieces.__getitem__, ids.tolist())).replace(SPACE, " ")
-            return text[1:] if self.prefix and text.startswith(" ") else text
-        out: list[bytes] = []
-        for i in ids.tolist():
-            kind = self.types[i]
-            if kind == BYTE:
-                out.append(bytes([int(self.pieces[i][3:5], 16)]))
-            elif kind == UNKNOWN:
-                out.append(" ⁇ ".encode())
-            elif kind != CONTROL:
-                out.append(self.pieces[i].encode("utf-8"))
-        text = b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")
+        spelled = map(self.spelled.__getitem__, np.asarray(ids, dtype=np.int64).tolist())
+        text = b"".join(spelled).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
