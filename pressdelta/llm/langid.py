@@ -21,6 +21,8 @@ from .common import required
 
 #: Feature space, training documents a language, passes over them, and the loss weight.
 DIM, PER_LANG, EPOCHS, C = 4096, 600, 12, 1.0
+#: Characters of a text looked at together.
+WINDOW = 1 << 16
 #: Margin to probability.
 SLOPE = 4.0
 UNKNOWN = "und"
@@ -47,15 +49,35 @@ def family(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang.lower().split("-")[0] in members), lang)
 
 
+def _stretches(text: str):
+    """The lower-cased text in bytes, each run of white space one space, also before and after.
+
+    It comes in stretches of bounded size, each led by the last two bytes before it.
+    """
+    before, open_ = b" ", False  # whether the bytes so far end inside a word
+    for at in range(0, len(text), WINDOW):
+        part = text[at : at + WINDOW]
+        words = " ".join(part.lower().split())
+        lead = " " if open_ and part[0].isspace() else ""
+        if words:
+            open_ = not part[-1].isspace()
+            whole = before + f"{lead}{words}{'' if open_ else ' '}".encode("utf-8", "surrogatepass")
+        else:
+            open_, whole = False, before + lead.encode()
+        yield whole
+        before = whole[-2:]
+    if open_:
+        yield before + b" "
+
+
 def featurize(text: str, dim: int = DIM) -> np.ndarray:
     """Unit vector of square-rooted, hashed trigram counts; each white-space run is one space."""
-    raw = " ".join(["", *text.lower().split(), ""]).encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, dtype=np.uint8)
     out = np.zeros(dim)
-    for at in range(0, max(len(data) - 2, 0), 1 << 22):
-        part = data[at : at + (1 << 22) + 2].astype(np.uint32)
-        codes = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
-        out += np.bincount((codes * np.uint32(2654435761)) >> np.uint32(32 - dim.bit_length() + 1), minlength=dim)
+    for raw in _stretches(text):
+        part = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
+        if len(part) > 2:
+            codes = part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)
+            out += np.bincount((codes * np.uint32(2654435761)) >> np.uint32(32 - dim.bit_length() + 1), minlength=dim)
     out = np.sqrt(out)
     norm = np.linalg.norm(out)
     return (out / norm if norm else out).astype(np.float32)
@@ -159,8 +181,9 @@ def annotate(docs: DataFrame, model: Model | None, dim: int = DIM) -> DataFrame:
 
     ``und`` with score 0 where text is null or has no letters, or nothing was learned.
     """
-    text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), letters.alias("letters"))
+    place = docs.columns.index("text")
     if model is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
@@ -168,10 +191,11 @@ def annotate(docs: DataFrame, model: Model | None, dim: int = DIM) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                langs, score = model.predict(np.stack([featurize(t or "", dim) for t in texts]))
-                langs = [UNKNOWN if t is None else v for t, v in zip(texts, langs, strict=True)]
-                score = [0.0 if t is None else float(s) for t, s in zip(texts, score, strict=True)]
+                known = part.column(1).to_pylist()
+                texts = part.column(0).field(place)
+                langs, score = model.predict(np.stack([featurize(t.as_py() if k else "", dim) for t, k in zip(texts, known, strict=True)]))
+                langs = [v if k else UNKNOWN for k, v in zip(known, langs, strict=True)]
+                score = [float(s) if k else 0.0 for k, s in zip(known, score, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
