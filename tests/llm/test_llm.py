@@ -133,6 +133,13 @@ def test_template_text_is_dropped(spark):
     assert out[3] == "Story 3 of many" and out[99] == "" and out[98] == "a <b\n\nc"
 
 
+def test_copies_of_a_page_keep_their_article(spark):
+    page = "<body><nav>n</nav><article><h1>Same</h1><p>Story of all</p></article><footer>f</footer></body>"
+    rows = [(i % 15, "https://h.test/a", page) for i in range(30)] + [(99, "https://h.test/b", page.replace("Same", "Other"))]
+    out = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 31 and {r.text for r in out if r.page_id != 99} == {"Same\n\nStory of all"}
+
+
 @pytest.mark.parametrize("page,text", [("", ""), ("<p \"x", ""), ("<script>if(a<b){'</p>'}</script>ok", "ok"), ("<article><ul><li>1<li>2</ul><aside>s</aside><div id='comments'>c</div></article><p>no</p>", "1\n\n2"), ("x<!-- y -->z", "xz")])
 def test_main_text(page, text):
     assert htmltext.main_text(page) == text
