@@ -130,6 +130,8 @@ def test_template_text_is_dropped(spark):
     page = "<body><div>Site name</div><div><span>Share this</span><p>Story {0} of many</p></div><div>All rights</div></body>"
     rows = [(i, f"https://h.test/{i}", page.format(i), 0, "t") for i in range(12)] + [(99, None, None, 0, "t"), (98, "https://one.test/", "<p>a &lt;b<p>c</p>", 0, "t")]
     out = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")).collect()}
+    joined = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string"), broadcast_tokens=0)
+    assert {r.page_id: r.text for r in joined.collect()} == out
     assert out[3] == "Story 3 of many" and out[99] == "" and out[98] == "a <b\n\nc"
 
 
