@@ -11,10 +11,13 @@ from .. import vocabulary as V
 from ..functions import redact as R
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import analysis as AN
 from ..operators import findings as FI
+from ..operators import ingest as IN
 from ..operators import revisions as RV
 from ..operators import topics as TP
 from ..sources import markup as M
+from ..sources.fetch import Response
 from ..sources.views import CHECKS, CLAIMS, DOC_REVISIONS, EVIDENCE, FETCH_LOG, HITS, WIRE, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,21 +471,68 @@ def html_list_links(spark, sf_dir):
 
 
 def _feed(spark, sf_dir, head, item, tail):
-    rows = table(spark, sf_dir, "pages").where("page_id % 7 = 0").select("page_id", "url")
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
     body = F.concat(F.lit(head), F.format_string(item, F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.col("page_id")), F.lit(tail))
     return M.candidates(rows.select(F.format_string("https://f.test/%d.xml", "page_id").alias("url"), F.lit("application/xml").alias("content_type"), body.alias("body")))
 
 
-@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, concat('Item ', CAST(page_id AS VARCHAR)) AS title, '2024-01-01' AS published_at, CAST(NULL AS VARCHAR) AS lastmod FROM pages WHERE page_id % 7 = 0")
+@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, concat('Item ', CAST(page_id AS VARCHAR)) AS title, '2024-01-01' AS published_at, CAST(NULL AS VARCHAR) AS lastmod FROM pages")
 def feed_rss(spark, sf_dir):
     return _feed(spark, sf_dir, "<rss><channel>", "<item><title>x</title><link>%s</link><title>Item %d</title><pubDate>2024-01-01</pubDate></item><item><link>mailto:a</link></item>", "</channel></rss>")
 
 
-@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, concat('Entry ', CAST(page_id AS VARCHAR)) AS title, '2024-01-02' AS published_at, CAST(NULL AS VARCHAR) AS lastmod FROM pages WHERE page_id % 7 = 0")
+@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, concat('Entry ', CAST(page_id AS VARCHAR)) AS title, '2024-01-02' AS published_at, CAST(NULL AS VARCHAR) AS lastmod FROM pages")
 def feed_atom(spark, sf_dir):
     return _feed(spark, sf_dir, '<feed xmlns="http://www.w3.org/2005/Atom">', '<entry><link rel="self" href="https://no.test/"/><link href="%s"/><title>Entry %d</title><updated>2024-01-02</updated></entry>', "</feed>")
 
 
-@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, '' AS title, CAST(NULL AS VARCHAR) AS published_at, concat('2024-', CAST(page_id AS VARCHAR)) AS lastmod FROM pages WHERE page_id % 7 = 0")
+@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, '' AS title, CAST(NULL AS VARCHAR) AS published_at, concat('2024-', CAST(page_id AS VARCHAR)) AS lastmod FROM pages")
 def feed_sitemap(spark, sf_dir):
     return _feed(spark, sf_dir, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "<url><loc>%s</loc><lastmod>2024-%d</lastmod></url>", "</urlset>")
+
+
+# -- polling -----------------------------------------------------------------------
+
+
+def _newsroom(url: str) -> Response:
+    """A made-up site: a sitemap of four articles, whose last one is lost for every third number."""
+    number, page = url.removeprefix("https://s").split(".test/")
+    if page == "map.xml":
+        entries = "".join(f"<url><loc>https://s{number}.test/{k}</loc><lastmod>2024-01-0{k}</lastmod></url>" for k in range(1, 5))
+        return Response(200, url, "application/xml", f"<urlset>{entries}</urlset>".encode())
+    lost = page == "4" and int(number) % 3 == 0
+    return Response(404 if lost else 200, url, "text/html", f"<article><p>Report {page} of {number}</p></article>".encode())
+
+
+@query("""
+SELECT source_id, CASE WHEN lost = 1 THEN 'failed' ELSE 'ok' END AS status, CAST(4 AS BIGINT) AS candidates_seen,
+       CAST(4 - known - lost AS BIGINT) AS revisions_created, CAST(lost AS BIGINT) AS failures,
+       CASE WHEN lost = 1 THEN 'article http_error' END AS error
+FROM (SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS known, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS lost
+      FROM supplier WHERE s_suppkey % 5 <> 0) t
+""")
+def watch_batch(spark, sf_dir):
+    number = F.col("s_suppkey").cast("string")
+    suppliers = table(spark, sf_dir, "supplier")
+    sources = suppliers.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("https://s"), number, F.lit(".test/map.xml")).alias("feed_url"), (F.col("s_suppkey") % 5 != 0).alias("enabled"))
+    latest = suppliers.where("s_suppkey % 2 = 0").select(F.concat(F.lit("https://s"), number, F.lit(".test/1")).alias("url"), F.lit("h").alias("content_hash"), F.lit("lastmod:2024-01-01").alias("marker"))
+    return IN.poll(sources, latest, _newsroom, F.timestamp_seconds(F.lit(1704067200))).checks.drop("checked_at")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 1 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 28800 WHEN event_id % 3 = 2 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS published_epoch
+FROM events
+""")
+def published_times(spark, sf_dir):
+    zone = F.when(F.col("event_id") % 3 == 1, "+08:00").when(F.col("event_id") % 3 == 2, "Z").otherwise("")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    return table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(IN.published_utc(text)).alias("published_epoch"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN length(v) > 200 OR regexp_matches(v, '(?i)(?:bearer\s+\S+|["'']?(?:authorization|cookie|token|secret|password|session|api[-_]key|access[_-]?token)["'']?\s*[:=])') THEN '' ELSE v END AS shown
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('token=', url) WHEN 1 THEN repeat(url, 9) ELSE url END AS v FROM pages) t
+""")
+def shown_metadata(spark, sf_dir):
+    value = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("token="), "url")).when(F.col("page_id") % 4 == 1, F.repeat("url", 9)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", AN.safe_metadata(value).alias("shown"))

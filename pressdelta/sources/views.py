@@ -22,7 +22,7 @@ SELECT o_orderkey AS revision_id, o_orderkey AS article_id,
        concat(city, ' ', place, ' notice') AS title,
        concat(city, ' ', agency, ' ', verb, ' the ', place, ' ', doc, '. ', city, ' ', agency, ' reports ',
               CAST(amount AS VARCHAR(20)), ' ', unit, ' ', verb2, ' at the ', place, ' ', act, '.') AS text,
-       1704067200 + o_orderkey * 600 AS fetched_epoch
+       1704067200 + o_orderkey * 6000 AS fetched_epoch
 FROM (SELECT o_orderkey, o_custkey,
         split_part('Taipei,Tainan,Hualien,Keelung,Yilan,Miaoli,Penghu,Chiayi,Nantou,Taitung,Pingtung', ',', CAST(j % 11 AS INT) + 1) AS city,
         split_part('coastal,airport,harbour,railway,hospital', ',', CAST(j % 5 AS INT) + 1) AS place,
@@ -33,7 +33,7 @@ FROM (SELECT o_orderkey, o_custkey,
         split_part('deployed,assigned', ',', CAST(j % 2 AS INT) + 1) AS verb2,
         split_part('approved,rejected,opened,closed,delayed,funded', ',', CAST(o_custkey % 6 AS INT) + 1) AS verb,
         CAST((j % 9 + 1) * pow(10, o_custkey % 4 + 1) AS BIGINT) AS amount
-      FROM (SELECT o_orderkey, o_custkey, CAST(floor(o_orderkey / 10) AS BIGINT) AS j FROM orders WHERE o_orderkey % 10 = 0) t) u
+      FROM (SELECT o_orderkey, o_custkey, o_orderkey AS j FROM orders) t) u
 """
 
 FETCH_LOG = """
@@ -47,7 +47,7 @@ CLAIMS = """
 SELECT revision_id AS claim_id, revision_id, split_part(text, ' ', 3) AS text,
        CAST(instr(text, concat(' ', split_part(text, ' ', 3), ' ')) AS INT) AS start,
        CAST(instr(text, concat(' ', split_part(text, ' ', 3), ' ')) + length(split_part(text, ' ', 3)) - CASE WHEN revision_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS "end",
-       split_part('checkable,descriptive,attributed_statement,inference,opinion,rumour', ',', CAST(revision_id / 10 AS INT) % 6 + 1) AS kind,
+       split_part('checkable,descriptive,attributed_statement,inference,opinion,rumour', ',', CAST(revision_id % 6 AS INT) + 1) AS kind,
        CASE WHEN revision_id % 3 = 0 THEN 'ordinary' ELSE 'material' END AS materiality,
        'extracted' AS extraction_status
 FROM wire
@@ -70,7 +70,7 @@ SELECT user_id AS finding_id, concat('https://e', CAST(event_id % 5 AS VARCHAR(2
        CASE WHEN event_id % 3 = 0 THEN 'contradicts' ELSE 'context' END AS relation,
        CASE WHEN (user_id + event_id) % 4 = 0 THEN 'retrieved' WHEN user_id % 3 = 0 THEN 'retrieval_failed' WHEN user_id % 3 = 1 THEN 'insufficient_scope' ELSE 'pending' END AS status,
        CASE WHEN event_id % 2 = 0 THEN 'related_article' ELSE 'search' END AS source_kind
-FROM events WHERE event_id % 40 = user_id % 40
+FROM events
 """
 
 _VIEWS = {"wire": WIRE, "doc_revisions": DOC_REVISIONS, "fetch_log": FETCH_LOG, "claims": CLAIMS, "hits": HITS, "checks": CHECKS, "evidence": EVIDENCE}
