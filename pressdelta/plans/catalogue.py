@@ -237,11 +237,11 @@ def recent_context(spark, sf_dir):
     return RV.recent(view(spark, sf_dir, "doc_revisions").select("revision_id", "url", "fetched_epoch"))
 
 
-@query(_ctes(d=DOC_REVISIONS) + "SELECT revision_id, url, title FROM d WHERE revision_id % 3 = 0")
+@query(_ctes(d=DOC_REVISIONS) + "SELECT revision_id, url, title FROM d")
 def revision_read(spark, sf_dir):
     d = view(spark, sf_dir, "doc_revisions")
     articles = d.select("article_id", "url")
-    return d.where("revision_id % 3 = 0").select("revision_id", "article_id", "title").join(articles, "article_id").select("revision_id", "url", "title")
+    return d.select("revision_id", "article_id", "title").join(articles, "article_id").select("revision_id", "url", "title")
 
 
 @query(_ctes(d=DOC_REVISIONS) + "SELECT l.toxic AS topic_id, d.revision_id, d.url FROM (SELECT DISTINCT toxic, doc_id FROM labels) l JOIN d ON d.revision_id = l.doc_id")
@@ -250,9 +250,9 @@ def topic_members(spark, sf_dir):
     return RV.link_topics(links.where("false"), links).join(view(spark, sf_dir, "doc_revisions").select("revision_id", "url"), "revision_id").select("topic_id", "revision_id", "url")
 
 
-@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def orphan_labels(spark, sf_dir):
-    return RV.orphans(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), "doc_id").select("doc_id", "quality")
+    return RV.orphans(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id").select("doc_id", "quality")
 
 
 @query(_ctes(c=CHECKS) + "SELECT run_id, count(*) AS sources_checked, CAST(sum(candidates_seen) AS BIGINT) AS candidates_seen, CAST(sum(revisions_created) AS BIGINT) AS revisions_created, CAST(sum(failures) AS BIGINT) AS failures FROM c GROUP BY run_id")
@@ -457,11 +457,9 @@ def page_text(spark, sf_dir):
     return M.articles(table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
-@query(r"SELECT page_id, substr(trim(regexp_replace(replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')), 1, 500) AS title FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&(?:quot|a?m?p?q?u?o?$)')")
+@query(r"""SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), 1, 500) AS title FROM pages""")
 def page_title(spark, sf_dir):
-    raw = F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1)
-    pages = table(spark, sf_dir, "pages").where(~raw.rlike("&(?:quot|a?m?p?q?u?o?$)"))
-    return M.articles(pages).select("page_id", "title")
+    return M.articles(table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
 @query()
