@@ -518,13 +518,13 @@ def watch_batch(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 3 = 1 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 28800 WHEN event_id % 3 = 2 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS published_epoch
+SELECT event_id, CASE WHEN event_id % 3 = 1 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 28800 WHEN event_id % 3 = 2 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) ELSE -1 END AS published_epoch
 FROM events
 """)
 def published_times(spark, sf_dir):
     zone = F.when(F.col("event_id") % 3 == 1, "+08:00").when(F.col("event_id") % 3 == 2, "Z").otherwise("")
     text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone)
-    return table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(IN.published_utc(text)).alias("published_epoch"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.unix_timestamp(IN.published_utc(text)), F.lit(-1)).alias("published_epoch"))
 
 
 @query(r"""
