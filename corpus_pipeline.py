@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pressdelta.llm.common import materialize
 from pressdelta.llm.exact_dedup import drop_exact_copies
 from pressdelta.llm.langid import keep_identified
+from pressdelta.llm.neardup import drop_near_similar
 from pressdelta.llm.packing import best_fit_packing
 from pressdelta.llm.pii import mask_pii
-from pressdelta.llm.simhash import drop_near_copies
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +23,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays.
+    """Of each group of texts linked by a similarity of 0.8 or more the smallest doc_id stays.
 
-    This stage works on word shingles, so it takes five words.
+    The similarity is that of the texts' sets of five-word shingles.
     """
-    return drop_near_copies(docs, shingle=5)
+    return drop_near_similar(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
