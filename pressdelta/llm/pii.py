@@ -40,12 +40,15 @@ class Kind:
     against: str | None = None
 
 
+#: Countries with the lengths of their account numbers, of the ISO 13616 register.
+LENGTHS = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True, 0.9, None, r"(?i)\b(?:e-?mail|contact|write|courriel|correo)", r"(?i)example\.(?:com|org|net)"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", True, 0.6, "ip", r"(?i)\b(?:ip|host|server|address|adresse|login)\b", r"(?i)\b(?:version|release|section)\b"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][0-9\x20-]{11}", True, 0.7, "luhn", r"(?i)\b(?:card|visa|mastercard|amex|carte|karte|tarjeta|credit)", r"(?i)\b(?:order|tracking|isbn)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", True, 0.6, "phone", r"(?i)\b(?:phone|tel|call|fax|mobile|telefon|llame)", r"(?i)\b(?:order|invoice)\b"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", False, 0.3, "mod97", r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)", None),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}", False, 0.3, "mod97", r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)", None),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", False, 0.3, None, r"(?i)\b(?:ssn|social security|sozialversicherung|sécurité sociale|seguridad social)", r"(?i)\b(?:part|model|serial)\b"),
 )
 
@@ -80,6 +83,40 @@ def _mod97(value: Column) -> Column:
     return F.length(flat).between(15, 34) & (rest == 1)
 
 
+def _iban_length(value: Column) -> Column:
+    """Length of the account number that ``value`` begins with; null if there is none.
+
+    ``value`` may go on with words and numbers after it, so every end before a space and
+    the end of ``value`` is tried: the country's own length first, else the longest.
+    """
+    head = lambda k: value.substr(F.lit(1), k)
+    ends = F.filter(
+        F.sequence(F.lit(15), F.length(value)),
+        lambda k: F.when((k == F.length(value)) | (value.substr(k + 1, F.lit(1)) == " "), head(k).rlike("^[A-Z0-9 ]+$") & _mod97(head(k))).otherwise(False),
+    )
+    size = lambda k: F.length(F.regexp_replace(head(k), " ", "")).cast("string")
+    own = lambda k: F.instr(F.lit(LENGTHS), F.concat(value.substr(1, 2), size(k))) > 0
+    return F.array_max(F.transform(ends, lambda k: F.struct(own(k).alias("own"), k.alias("length"))))["length"]
+
+
+def _iban_spans(kind: Kind, text: Column) -> Column:
+    """array<struct<start,end>>; a match is the first four characters, its group what may follow."""
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))
+    between = F.split(text, kind.pattern, -1)
+    empty = F.lit([]).cast("array<struct<start:int,end:int>>")
+    lengths = F.transform(found, _iban_length)
+
+    def fold(acc, pair):
+        start = acc["at"] + F.length(pair["between"])
+        end = start + pair["length"]
+        fresh = F.struct((start + 4).alias("at"), end.alias("until"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
+        skipped = F.struct((start + 4).alias("at"), acc["until"].alias("until"), acc["out"].alias("out"))
+        return F.when(pair["length"].isNotNull() & (start >= acc["until"]), fresh).otherwise(skipped)
+
+    pairs = F.arrays_zip(between.alias("between"), lengths.alias("length"))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("until"), empty.alias("out")), fold, lambda acc: acc["out"])
+
+
 def _ip(value: Column) -> Column:
     """All four parts at most 255, leading zeros or not, whatever their length."""
     return ~F.exists(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "").rlike("^(?:[0-9]{4,}|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])$"))
@@ -88,8 +125,6 @@ def _ip(value: Column) -> Column:
 def _valid(kind: Kind, value: Column) -> Column:
     if kind.checksum == "luhn":
         return F.when(F.length(_digits(value)).between(13, 19), _luhn(value)).otherwise(False)
-    if kind.checksum == "mod97":
-        return _mod97(value)
     if kind.checksum == "ip":
         return _ip(value)
     if kind.checksum == "phone":
@@ -109,8 +144,8 @@ def _score(kind: Kind, text: Column, start: Column, end: Column) -> Column:
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
 
-def _spans(kind: Kind, text: Column) -> Column:
-    """array<struct<kind,start,end,score>> of one kind, failing matches dropped."""
+def _checked(kind: Kind, text: Column) -> Column:
+    """array<struct<start,end>> of the matches that are valid whole."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     between = F.split(text, kind.pattern, -1)
     empty = F.lit([]).cast("array<struct<start:int,end:int>>")
@@ -122,7 +157,12 @@ def _spans(kind: Kind, text: Column) -> Column:
         return F.when(pair["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), kept.alias("out")))
 
     pairs = F.arrays_zip(between.alias("between"), found.alias("match"))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), fold, lambda acc: acc["out"])
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), fold, lambda acc: acc["out"])
+
+
+def _spans(kind: Kind, text: Column) -> Column:
+    """array<struct<kind,start,end,score>> of one kind, failing matches dropped."""
+    spans = _iban_spans(kind, text) if kind.checksum == "mod97" else _checked(kind, text)
     scored = F.transform(spans, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(kind, text, s["start"], s["end"]).alias("score")))
     if not kind.base:
         scored = F.filter(scored, lambda s: s["score"] >= THRESHOLD)
