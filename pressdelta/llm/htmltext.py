@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, required
 
-#: Pages of a host, tokens of a class and share of the host's pages that a template takes.
-MIN_PAGES, MIN_TOKENS, SHARE = 8, 3, 0.9
+#: Distinct pages of a host, tokens of a class and share of the host's pages that a template takes.
+MIN_PAGES, MIN_TOKENS, SHARE = 2, 3, 0.9
+#: Tokens times pages of a class: what few pages lack as evidence, more tokens must give.
+EVIDENCE = 24
 #: Least share of a marked main part that lies in slots, where template texts are dropped.
 SLOTS = 0.5
 #: Template tokens and hosts up to which the templates go to every executor.
@@ -181,6 +183,19 @@ def _host():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def distinct_pages(rows: DataFrame) -> DataFrame:
+    """``rows(host, ident, html)`` with each html once a host.
+
+    Only rows that have a copy are gathered, and those are folded before the shuffle.
+    """
+    keyed = rows.select("host", "ident", "html", F.xxhash64("html").alias("own"))
+    copied = keyed.groupBy("host", "own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "own")
+    copied = materialize(copied, "copied")
+    single = keyed.join(copied, ["host", "own"], "left_anti").select("host", "ident", "html")
+    first = keyed.join(copied, ["host", "own"], "left_semi").groupBy("host", "own").agg(F.min("ident").alias("ident"), F.first("html").alias("html"))
+    return single.unionByName(first.select("host", "ident", "html"))
+
+
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:
     """(host, template array<long>): tokens of the classes that make each host's template."""
 
@@ -216,7 +231,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MI
     tokens = vectors.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"))
     frequent = materialize(tokens.where(F.col("pages") >= min_pages), "tokens")
     roots = frequent.where("token = 0").select("host", F.col("pages").alias("of"))
-    classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_tokens)
+    classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") >= min_tokens) & (F.col("size") * F.col("pages") >= EVIDENCE))
     valid = classes.join(roots, "host").where(F.col("pages") >= F.col("of") * share).select("host", "vector", "pages", "times")
     return frequent.where("token <> 0").join(valid, ["host", "vector", "pages", "times"]).groupBy("host").agg(F.collect_set("token").alias("template"))
 
@@ -242,7 +257,7 @@ def extract(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataF
     """
     rows = required(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
     rows = rows.withColumn("ident", F.xxhash64("page_id", "url", "html"))
-    found = templates(rows)
+    found = templates(distinct_pages(rows))
 
     def run(batches):
         for batch in batches:
