@@ -3,8 +3,9 @@
 Pages of one host are filled-in copies of a template. Every token of a page, an opening
 tag or a whole text node together with the path of tags above it, has an occurrence
 vector: how often it stands on each page of the host. Tokens with the same vector form
-an equivalence class. Classes whose vector is that of the page as a whole, or that nest
-in it on nearly all pages, make the template; what stands between its tokens are slots.
+an equivalence class. Classes that stand on nearly all pages of the host make the
+template; what stands between its tokens are slots. Order and nesting of occurrences are
+left out, so layouts on a smaller part of a host's pages have no template of their own.
 
 A vector is kept as a fingerprint: the exclusive or of one hash for each (page, count),
 with the number of pages and occurrences. It is built by partial aggregation, so a host
