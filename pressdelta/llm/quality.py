@@ -24,6 +24,8 @@ from .common import required
 PER_LABEL, CALIBRATION = 1200, 0.4
 #: Bytes taken of one document into a dictionary, of a dictionary, and of a block.
 EXCERPT, DICTIONARY, BLOCK = 1 << 13, 112 << 10, 1 << 11
+#: Bytes of one piece of an excerpt.
+PIECE = 1 << 9
 LEVEL, THRESHOLD = 3, 0.3
 #: Added to every length, so that a few bytes prove little.
 PRIOR_BYTES = 32
@@ -69,12 +71,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(values @ self.weights[:-1] + self.weights[-1], -60, 60)))
 
 
+def spread(raw: bytes, bound: int, piece: int = PIECE) -> bytes:
+    """At most ``bound`` bytes: pieces at even distances from the first byte to the last."""
+    if len(raw) <= bound:
+        return raw
+    count = bound // piece
+    return b"".join(raw[at : at + piece] for at in (i * (len(raw) - piece) // (count - 1) for i in range(count)))
+
+
+def _excerpts(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, quality, text)`` with an excerpt drawn over the whole of each text."""
+
+    def run(batches):
+        for batch in batches:
+            out = [spread(t.as_py().encode("utf-8", "surrogatepass"), EXCERPT) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["doc_id", "quality", "excerpt"])
+
+    return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in docs.dtypes[:2]) + ", excerpt binary")
+
+
 def _dictionary(texts: list[bytes]) -> bytes:
     samples = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their bytes themselves
-        return b"".join(samples)[-DICTIONARY:]
+        return spread(b"".join(samples), DICTIONARY)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -94,8 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     """Train on labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     About ``per_label`` documents of each label are used, chosen by a hash of doc_id;
-    of each the dictionary takes an excerpt of at most ``EXCERPT`` bytes, drawn from
-    its middle. Without labels the score is 0.5 everywhere.
+    of each the dictionary takes an excerpt of at most ``EXCERPT`` bytes, drawn in pieces
+    from its whole length. Without labels the score is 0.5 everywhere.
     """
     known = required(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
     sizes = {r.quality: r.n for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -108,9 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1000)) < int(1000 * CALIBRATION)
     build = rows.where(~part)
-    middle = F.greatest(F.lit(1), (F.length("text") / 2 - EXCERPT // 2).cast("int"))
-    excerpts = sorted(build.select("doc_id", "quality", F.col("text").substr(middle, F.lit(EXCERPT)).alias("text")).collect())
-    good, bad = (_dictionary([r.text.encode("utf-8", "surrogatepass")[:EXCERPT] for r in excerpts if r.quality == q]) for q in (1, 0))
+    excerpts = sorted((r.doc_id, r.quality, bytes(r.excerpt)) for r in _excerpts(build.select("doc_id", "quality", "text")).collect())
+    good, bad = (_dictionary([e for _, q, e in excerpts if q == label]) for label in (1, 0))
     measured = _measured(rows.where(part).select("quality", "text"), Model(good, bad, np.zeros(4)), raw=True).collect()
     if not measured:
         return Model(good, bad, np.zeros(4))
