@@ -73,3 +73,19 @@ def required(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def keep_one(docs: DataFrame, kept: DataFrame, doc_id: str, key) -> DataFrame:
+    """One row of ``docs`` for each row of ``kept(_id, _key, n)``; all columns.
+
+    ``n`` counts the rows of ``docs`` with that doc_id and ``key``. Of rows that repeat
+    the smallest stays, compared column by column in the order of ``docs``.
+    """
+    kept = materialize(kept, "kept")
+    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    if kept.where("n > 1").isEmpty():
+        return docs.join(kept, on, "left_semi")
+    single = docs.join(kept.where("n = 1"), on, "left_semi")
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")
+    again = docs.join(kept.where("n > 1"), on).groupBy("_id", "_key").agg(least).select("_row.*")
+    return single.unionByName(again)

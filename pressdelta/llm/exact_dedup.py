@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, required
+from .common import WS, keep_one, materialize, required
 
 #: Bytes of the first digit, growth of the width, and the widest digit.
 FIRST, GROWTH, WIDEST = 48, 12, 1 << 20
@@ -73,7 +73,9 @@ def exact_dedup(docs: DataFrame, first: int = FIRST, growth: int = GROWTH, wides
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that ``exact_dedup`` keeps; all columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_sha")), "left_semi")
+    """One row of each text, the one ``exact_dedup`` keeps; all columns.
+
+    Of rows that repeat its doc_id, or that have none, the smallest stays.
+    """
+    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    return keep_one(docs, kept, "doc_id", F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, required
+from .common import discard, keep_one, materialize, required
 from .graph import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -142,13 +142,15 @@ def text_id():
 
 
 def drop_near_similar(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are the smallest doc_id of their group of linked near copies.
+    """One row of each group of linked near copies, that of the smallest doc_id; all columns.
 
     Equal texts are linked as well. A null doc_id stays only where its group has no other.
+    Of rows that repeat doc_id and text the smallest stays.
     """
     keyed = required(docs, "doc_id", "text").select("doc_id", text_id().alias("id"))
     roots = near_components(docs)
     rooted = keyed.join(roots, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")
-    kept = rooted.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_doc"), F.col("first.id").alias("_text"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_id() == F.col("_text")), "left_semi")
+    rows = rooted.groupBy("root", "doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("first")
+    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.id").alias("_key"), F.col("first.n").alias("n"))
+    return keep_one(docs, kept, "doc_id", text_id())

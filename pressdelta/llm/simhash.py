@@ -302,10 +302,3 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> Da
     heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(heads, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
-    """Rows of ``docs`` that are the smallest doc_id of their component; all columns."""
-    classes = simhash_dedup(docs, shingle, tau)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
