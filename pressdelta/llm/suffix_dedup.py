@@ -17,7 +17,8 @@ consecutive suffixes of a document share one, so a run of some 35 suffixes is on
    quicksort, a word of eight bytes at a time and only inside groups still equal, and
    keeps the earliest suffix of every group. Equal tokens never straddle a splitter.
 4. An anchor with more than ``hot`` different runs would overload a bucket: its suffixes
-   are written out one by one and meet by their whole bytes, partially aggregated first.
+   are written out, sorted and folded batch by batch, and range-partitioned by their whole
+   bytes, so the anchor spreads over many buckets. The result does not depend on ``hot``.
 5. Each document reads its removed suffixes and drops the bytes that they cover.
 """
 
@@ -290,11 +291,7 @@ def _compare(rows: DataFrame, length: int) -> DataFrame:
         h, doc, first = (table.column(c).to_numpy() for c in ("h", "doc", "first"))
         words, row, offset, start = _spread(table.column("data").to_pylist(), length)
         group = multikey_groups(words, start, h[row], length)
-        order = np.lexsort((first[row] + offset, doc[row], group))
-        g, d, p = group[order], doc[row][order], (first[row] + offset)[order]
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), np.arange(len(g)), 0))
-        good = np.zeros(len(row), dtype=bool)
-        good[order] = (d == d[head]) & (p == p[head])
+        good = _earliest(group, doc[row], first[row] + offset)
         counts = np.bincount(row[good], minlength=len(h))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(offset[good].astype(np.int32)))
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), table.column("mark").combine_chunks(), lists], ["doc", "first", "mark", "kept"])
@@ -302,27 +299,61 @@ def _compare(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("h", "doc", "first", "mark", "data").mapInArrow(run, "doc long, first long, mark long, kept array<int>")
 
 
-def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many runs: suffixes meet by their bytes."""
+def _earliest(group: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a suffix is the earliest of its group; rows of one document at one place tie."""
+    order = np.lexsort((at, doc, group))
+    g, d, p = group[order], doc[order], at[order]
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), np.arange(len(g)), 0))
+    out = np.zeros(len(group), dtype=bool)
+    out[order] = (d == d[head]) & (p == p[head])
+    return out
 
-    def run(batches):
+
+def _compare_dealt(rows: DataFrame, length: int) -> DataFrame:
+    """Kept suffixes of anchors with very many runs: their suffixes are dealt, not their runs.
+
+    Batches are sorted and folded first, so a suffix has a row a batch. Those rows are
+    range-partitioned by their bytes between sampled splitters and sorted; the comparison
+    runs on over the boundaries of batches.
+    """
+    shape = "suffix binary, doc long, at long, first long, mark long"
+
+    def fold(batches):
         for batch in batches:
-            doc, first, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            data = batch.column(3).to_pylist()
-            for at in range(0, len(data), 512):
-                _, row, offset, start = _spread(data[at : at + 512], length)
-                row += at
-                joined = np.frombuffer(b"".join(data[at : at + 512]), dtype=np.uint8)
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                doc, first, mark = (part.column(i).to_numpy() for i in range(3))
+                data = part.column(3).to_pylist()
+                words, row, offset, start = _spread(data, length)
+                at = first[row] + offset
+                good = _earliest(multikey_groups(words, start, np.zeros(len(row), dtype=np.int64), length), doc[row], at)
+                row, at, start = row[good], at[good], start[good]
+                joined = np.frombuffer(b"".join(data), dtype=np.uint8)
                 suffix = np.lib.stride_tricks.sliding_window_view(joined, length)[start]
                 bounds = np.arange(len(row) + 1, dtype=np.int32) * np.int32(length)
                 strings = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(suffix)])
-                yield pa.RecordBatch.from_arrays([strings, pa.array(doc[row]), pa.array(first[row]), pa.array(mark[row]), pa.array(offset.astype(np.int32))], ["suffix", "doc", "first", "mark", "off"])
+                yield pa.RecordBatch.from_arrays([strings, pa.array(doc[row]), pa.array(at), pa.array(first[row]), pa.array(mark[row])], ["suffix", "doc", "at", "first", "mark"])
 
-    one = rows.select("doc", "first", "mark", "data").mapInArrow(run, "suffix binary, doc long, first long, mark long, off int")
-    own = F.struct("doc", (F.col("first") + F.col("off")).alias("at"))
-    earliest = one.groupBy("suffix").agg(F.min(own).alias("earliest"))
-    good = one.join(earliest, "suffix").where(own == F.col("earliest"))
-    return good.groupBy("doc", "first", "mark").agg(F.collect_list("off").alias("kept"))
+    def keep(batches):
+        before, head = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            suffix = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, length)
+            doc, at = (batch.column(i).to_numpy() for i in (1, 2))
+            fresh = np.concatenate([[before is None or (suffix[0] != before).any()], (suffix[1:] != suffix[:-1]).any(axis=1)])
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), -1))
+            if head is None:
+                head = (doc[0], at[0])
+            d, p = np.where(first < 0, head[0], doc[first]), np.where(first < 0, head[1], at[first])
+            before, head = suffix[-1].copy(), (d[-1], p[-1])
+            good = (doc == d) & (at == p)
+            off = (at - batch.column(3).to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[good]), pa.array(batch.column(3).to_numpy()[good]), pa.array(batch.column(4).to_numpy()[good]), pa.array(off[good])], ["doc", "first", "mark", "off"])
+
+    one = rows.select("doc", "first", "mark", "data").mapInArrow(fold, shape)
+    dealt = one.repartitionByRange("suffix").sortWithinPartitions("suffix", "doc", "at")
+    return dealt.mapInArrow(keep, "doc long, first long, mark long, off int").groupBy("doc", "first", "mark").agg(F.collect_list("off").alias("kept"))
 
 
 def _finish(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -394,7 +425,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     some = marked.where(f"size > 1 AND size <= {hot}").withColumn("lead", F.expr("substring(data, off + 1, 16)"))
     bucketed = some.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h")
     many = marked.where(f"size > {hot}")
-    kept = alone.unionByName(_compare(bucketed, length)).unionByName(_one_by_one(many, length))
+    kept = alone.unionByName(_compare(bucketed, length)).unionByName(_compare_dealt(many, length))
     lists = kept.groupBy("doc").agg(F.collect_list(F.struct("first", "mark", "kept")).alias("kept"))
     plan = materialize(flagged.join(lists, "doc", "left").select("doc", "at", "kept"), "plan")
     discard(flagged, marked)
