@@ -214,6 +214,14 @@ def test_null_ids_alone_are_not_mixed_up(spark):
     assert [r.group_size for r in exact_dedup.exact_dedup(rows).collect()] == [2] * 4
 
 
+def test_an_id_that_repeats_with_other_texts(spark):
+    a, b = "a" * 48, "b" * 48
+    rows = [(7, a + "X"), (7, b + "X"), (8, a + "Y"), (9, b + "Y"), (7, a + "X"), (8, b + "X")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, min(j for j, u in rows if u == t), sum(u == t for _, u in rows)) for i, t in rows]
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == sorted(want)
+
+
 # -- op6 ----------------------------------------------------------------------------
 
 
