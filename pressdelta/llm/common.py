@@ -79,13 +79,14 @@ def keep_one(docs: DataFrame, kept: DataFrame, doc_id: str, key) -> DataFrame:
     """One row of ``docs`` for each row of ``kept(_id, _key, n)``; all columns.
 
     ``n`` counts the rows of ``docs`` with that doc_id and ``key``. Of rows that repeat
-    the smallest stays, compared column by column in the order of ``docs``.
+    the smallest stays, compared column by column in the order of ``docs``. Rows travel
+    as one struct, so columns of any name may stand in ``docs``.
     """
     kept = materialize(kept, "kept")
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), key.alias("key"))
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     if kept.where("n > 1").isEmpty():
-        return docs.join(kept, on, "left_semi")
-    single = docs.join(kept.where("n = 1"), on, "left_semi")
-    least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")
-    again = docs.join(kept.where("n > 1"), on).groupBy("_id", "_key").agg(least).select("_row.*")
+        return rows.join(kept, on, "left_semi").select("row.*")
+    single = rows.join(kept.where("n = 1"), on, "left_semi").select("row.*")
+    again = rows.join(kept.where("n > 1"), on).groupBy("_id", "_key").agg(F.min("row").alias("row")).select("row.*")
     return single.unionByName(again)

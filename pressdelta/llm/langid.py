@@ -216,6 +216,10 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, per_lang: int = PER_LANG) -> DataFrame:
-    """Rows of ``docs`` whose language is recognised with at least ``min_score``; all columns."""
+    """Rows of ``docs`` whose language is recognised with at least ``min_score``; all columns.
+
+    Null, empty and letterless texts go. Repeated rows and null ids are each judged by their
+    text; an empty table gives an empty result. Columns of any name may stand beside.
+    """
     out = annotate(docs, fit(docs, per_lang))
     return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

@@ -200,6 +200,8 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are masked once, under the kind that starts first, or on a tie
     the longer one. n_chars, where present, follows the new text; null texts stay null.
+    Rows travel as one struct, so columns of any name may stand beside ``text``. Repeated
+    rows are each masked; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = F.array_sort(
@@ -214,9 +216,10 @@ def mask_pii(docs: DataFrame) -> DataFrame:
         return F.when(s["start"] >= acc["at"], fresh).otherwise(longer)
 
     state = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<string>").alias("parts"))
-    folded = F.aggregate(F.col("_spans"), state, fold)
-    marked = docs.withColumn("_spans", spans).withColumn("_folded", F.when(F.size("_spans") > 0, folded))
-    tail = F.col("text").substr(F.col("_folded.at") + 1, F.length("text"))
-    out = marked.withColumn("_new", F.when(F.col("_folded").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.col("_folded.parts"), ""), tail)))
-    columns = [F.col("_new").alias("text") if c == "text" else F.length("_new").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", spans.alias("spans"))
+    folded = rows.select("row", "text", F.when(F.size("spans") > 0, F.aggregate("spans", state, fold)).alias("folded"))
+    tail = F.col("text").substr(F.col("folded.at") + 1, F.length("text"))
+    masked = F.when(F.col("folded").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.col("folded.parts"), ""), tail))
+    out = folded.select("row", masked.alias("masked"))
+    columns = [F.col("masked").alias("text") if c == "text" else F.length("masked").cast(t).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c, t in docs.dtypes]
     return out.select(*columns)
