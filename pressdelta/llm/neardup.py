@@ -40,7 +40,7 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Fingerprints of 64 bits, and the share of pairs at the similarity that the probes shall meet.
 WORDS, RECALL = 32, 0.98
 #: Members of a bucket compared as one block, rows compared at once, shingles hashed at once.
-BLOCK, ROWS, SLAB = 256, 8192, 255
+BLOCK, ROWS, SLAB = 1024, 8192, 255
 #: Standard deviations of the bit distance between what is sure and what the sets decide.
 SURE = 3.0
 
