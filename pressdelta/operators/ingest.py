@@ -57,7 +57,7 @@ def poll(sources: DataFrame, latest: DataFrame, get: FE.Get, started_at: Column)
     marker = RV.change_marker(F.lit(None).cast("string"), F.col("lastmod"))
     last = F.max_by(F.struct("source_id", "title", "published_at", marker.alias("marker")), F.struct("source_id", "pos"))
     wanted = RV.to_fetch(listed.groupBy("url").agg(last.alias("c")).select("url", "c.*"), latest.select("url", F.col("marker").alias("stored_marker")))
-    got = FE.pages(wanted, get).select(F.col("requested").alias("url"), T.normalize(F.col("text")).alias("text"), "status")
+    got = FE.pages(wanted, get, limit=None).select(F.col("requested").alias("url"), T.normalize(F.col("text")).alias("text"), "status")
     known = latest.select("url", F.col("content_hash").alias("known_hash"), F.col("marker").alias("known_marker"))
     done = wanted.join(got, "url").join(known, "url", "left").withColumn("title", T.normalize(F.col("title")))
     ok = F.col("status") == "retrieved"

@@ -73,9 +73,11 @@ def responses(urls: DataFrame, get: Get, column: str = "url") -> DataFrame:
     return _each(urls, column, one, "requested string, url string, content_type string, body binary, error string")
 
 
-def pages(urls: DataFrame, get: Get, fallback: Fallback | None = None, column: str = "url") -> DataFrame:
+def pages(urls: DataFrame, get: Get, fallback: Fallback | None = None, column: str = "url", limit: int | None = V.MAX_PAGE_TEXT) -> DataFrame:
     """(requested, url, title, text, status, content_hash): the readable text behind an address.
 
+    Texts are cut at ``limit`` characters, None for whole texts; the hash is of what is kept.
+
     Status is retrieved, invalid_url, timeout, http_error, oversized, parse_error or
     retrieval_failed. Where the first way fails, ``fallback`` may still retrieve the page.
     """
@@ -92,7 +94,7 @@ def pages(urls: DataFrame, get: Get, fallback: Fallback | None = None, column: s
         if len(r.body) > V.MAX_BYTES:
             return asked, "", "", "oversized"
         title, text = read_article(r.body, r.content_type)
-        return (r.url or asked, title, text[: V.MAX_PAGE_TEXT], "retrieved") if text else (asked, "", "", "parse_error")
+        return (r.url or asked, title, text[:limit], "retrieved") if text else (asked, "", "", "parse_error")
 
     def one(asked: str) -> tuple:
         if not asked.lower().startswith(("http://", "https://")):
@@ -104,7 +106,7 @@ def pages(urls: DataFrame, get: Get, fallback: Fallback | None = None, column: s
             except Exception:
                 other = None
             if other and other[1].strip():
-                url, title, text, status = asked, other[0][: V.MAX_TITLE], other[1][: V.MAX_PAGE_TEXT], "retrieved"
+                url, title, text, status = asked, other[0][: V.MAX_TITLE], other[1][:limit], "retrieved"
         return asked, url, title, text, status
 
     rows = _each(urls, column, one, "requested string, url string, title string, text string, status string")

@@ -29,6 +29,7 @@ SENSITIVE = r"(?:authorization|cookie|token|secret|password|session|api[-_]key)"
 SECRET_VALUE = rf"(?:{SENSITIVE}|(?:access|refresh|client)[_-]?(?:token|secret)|passwd|pwd|session(?:[_-]?id)?)"
 CREDENTIAL = r"(?iU)(?:https?://[^\s/@]+:[^\s/@]+@|\b(?:api[-_]?key|(?:access|refresh|client)[-_]?(?:token|secret)|token|secret|password|passwd|pwd|cookie|authorization)\s*(?:=|:))"
 SENSITIVE_METADATA = r"(?i)(?:bearer\s+\S+|[\"']?(?:authorization|cookie|token|secret|password|session|api[-_]key|access[_-]?token)[\"']?\s*[:=])"
+CHARSET = r"(?i)charset\s*=\s*[\"']?([^\s;\"']+)"
 PROVIDER_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}\z"
 
 # Limits.
