@@ -48,17 +48,25 @@ def words(values) -> Column:
     return F.lit(list(values)).cast("array<string>")
 
 
-def event_tokens(text: Column, drop: Column | None = None) -> Column:
+def event_words(words_: Column, entities_: Column, drop: Column | None = None) -> Column:
     """Tokens that are no entity of the same text, stopword, number or word of ``drop``."""
-    rest = F.array_except(F.array_except(tokens(text), entities(text)), words(V.STOPWORDS))
+    rest = F.array_except(F.array_except(words_, entities_), words(V.STOPWORDS))
     if drop is not None:
         rest = F.array_except(rest, drop)
     return F.filter(rest, lambda t: ~t.rlike(r"(?U)^\d[\d,]*$"))
 
 
+def event_tokens(text: Column, drop: Column | None = None) -> Column:
+    return event_words(tokens(text), entities(text), drop)
+
+
+def unstopped(found: Column) -> Column:
+    return F.array_except(found, words(V.STOPWORDS))
+
+
 def named(text: Column) -> Column:
     """Entities that are no stopwords."""
-    return F.array_except(entities(text), words(V.STOPWORDS))
+    return unstopped(entities(text))
 
 
 def sentence(text: Column, start: Column, end: Column) -> Column:
@@ -107,7 +115,6 @@ def numeric_claims(text: Column) -> Column:
     return F.transform(F.filter(spans(text, V.NUMBER), exact), item)
 
 
-def label(title_l: Column, title_r: Column, doc_l: Column, doc_r: Column) -> Column:
-    """The first five shared title tokens and entities in order, else ``possible topic``."""
-    shared = F.array_union(F.array_intersect(title_l, title_r), F.array_intersect(doc_l, doc_r))
-    return F.when(F.size(shared) == 0, "possible topic").otherwise(F.array_join(F.slice(F.array_sort(shared), 1, 5), " "))
+def first_five(shared: Column) -> Column:
+    """The first five of some words in order, else ``possible topic``."""
+    return F.when(F.size(shared) == 0, "possible topic").otherwise(F.array_join(F.slice(F.array_sort(F.array_distinct(shared)), 1, 5), " "))

@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..sources import fetch as FE
 from ..sources import markup as M
 from . import revisions as RV
+from .settled import settle
 
 
 @dataclass(frozen=True)
@@ -36,13 +37,6 @@ def published_utc(value: Column) -> Column:
     return F.when(aware, F.try_to_timestamp(value))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the shared checkpoint folder, or in the cache where none is set."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
-
-
 def poll(sources: DataFrame, latest: DataFrame, get: FE.Get, started_at: Column) -> Poll:
     """Fetch enabled ``sources(id, feed_url, enabled)`` and what is new on them.
 
