@@ -85,3 +85,13 @@ def source_health(checks: DataFrame) -> DataFrame:
     latest = F.max_by(F.struct("checked_at", "candidates_seen", "failures", "error"), F.struct("checked_at", "check_id"))
     status = F.when(F.col("last.failures") > 0, "failed").otherwise("ok")
     return checks.groupBy("source_id").agg(latest.alias("last")).select("source_id", status.alias("status"), "last.checked_at", "last.candidates_seen", "last.error")
+
+
+def metadata_of(articles: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, metadata): what is stored about known addresses, null for unknown ones."""
+    return urls.select("url").distinct().join(articles.select("url", "metadata"), "url", "left")
+
+
+def source_counts(sources: DataFrame) -> DataFrame:
+    """(sources, enabled): how many there are, one row."""
+    return sources.agg(F.count(F.lit(1)).alias("sources"), F.count_if("enabled").alias("enabled"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -178,9 +179,9 @@ def change_marker(spark, sf_dir):
     return e.select("event_id", RV.change_marker(etag, lastmod).alias("marker"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def html_escape(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", R.escape_html(F.substring("html", 1, 400)).alias("escaped"))
+    return table(spark, sf_dir, "pages").select("page_id", R.escape_html(F.col("html")).alias("escaped"))
 
 
 @query("SELECT page_id, lower(url) LIKE '%.xml' OR lower(url) LIKE '%.rss' OR page_id % 5 = 0 AS is_xml FROM pages")
@@ -320,7 +321,9 @@ def opposite_differences(spark, sf_dir):
     return TP.opposite_differences(TP.pairs(w, "high"), w)
 
 
-_ALL = _WIRE + f""",
+def _all(base: str) -> str:
+    """``base`` with its differences numbered by place and worded."""
+    return base + f""",
 place AS (SELECT revision_id, concat(substr({_BASE}, 1, 200), ' (', {_HOST}, ', ', strftime(make_timestamp(fetched_epoch * 1000000), '%Y-%m-%dT%H:%M:%SZ'), ')') AS place FROM wire),
 joint AS (SELECT *, 'numeric' AS kind FROM ndiff UNION ALL SELECT o.*, 'opposite' AS kind FROM odiff o ANTI JOIN ndiff n ON o.left_id = n.left_id AND o.right_id = n.right_id),
 diff AS MATERIALIZED (SELECT left_id, right_id, kind, start, "end", left_claim, right_claim,
@@ -329,28 +332,92 @@ diff AS MATERIALIZED (SELECT left_id, right_id, kind, start, "end", left_claim,
  FROM joint JOIN place l ON l.revision_id = left_id JOIN place r ON r.revision_id = right_id)"""
 
 
+_ALL = _all(_WIRE)
+#: The same from both sides of each pair: a difference belongs to the left revision.
+_SIDES = ", sides AS (SELECT left_id, right_id, confidence FROM pairs UNION ALL SELECT right_id, left_id, confidence FROM pairs)"
+_BOTH = _all((_ctes(wire=WIRE)[:-1] + "," + _pair_sql("wire") + _SIDES + "," + _NUMBERS + "," + _CONTEXTS + "," + _VERBS).replace("FROM pairs\n", "FROM sides\n"))
+
+
 @query(_ALL + " SELECT * FROM diff")
 def cross_media_differences(spark, sf_dir):
     return TP.differences(view(spark, sf_dir, "wire"))
 
 
-@query(_ALL + " SELECT d.left_id, d.right_id, d.summary, w.url, w.title, w.text AS excerpt, 'retrieved' AS evidence_status, true AS visible FROM diff d JOIN wire w ON w.revision_id = d.right_id")
+def _both_sides(w):
+    return TP.differences(w, TP.directed(TP.pairs(w, "high")))
+
+
+@query(_BOTH + " SELECT d.left_id, d.right_id, d.summary, w.url, w.title, w.text AS excerpt, 'retrieved' AS evidence_status, true AS visible FROM diff d JOIN wire w ON w.revision_id = d.right_id")
 def pending_analysis_flagship(spark, sf_dir):
-    """High pairs, their differences, the peer as evidence, and what becomes visible."""
+    """High pairs from both sides, their differences, the peer as evidence, and what becomes visible."""
     w = view(spark, sf_dir, "wire")
-    rows = FI.topic_evidence(TP.differences(w), w, "summary")
+    rows = FI.topic_evidence(_both_sides(w), w, "summary")
     nested = F.array(F.struct("url", "excerpt", "relation", "status", "source_kind"))
     findings = rows.withColumns({"finding_type": F.lit("material_cross_media_difference"), "evidence": nested, "related": F.array("url")})
     return FI.resolve_nested(findings).select("left_id", "right_id", "summary", "url", "title", "excerpt", "evidence_status", "visible")
 
 
-@query(_ALL + ", p AS (SELECT count(*) AS n FROM pairs WHERE confidence = 'high') SELECT (SELECT n FROM p) AS high_pairs, count(*) AS candidates, count(*) FILTER (WHERE kind = 'numeric') AS numeric_candidates, (SELECT count(*) FROM num) AS claims FROM diff")
-def analysis_summary(spark, sf_dir):
+def _wire_provider(row: dict) -> str:
+    """A made-up provider: claims the third word of a revision; every seventh answer is malformed."""
+    ident, text = int(row["revision_id"]), row["text"]
+    if ident % 7 == 0:
+        return "{}"
+    word = text.split(" ")[2]
+    span = {"start": text.index(f" {word} ") + 1, "end": text.index(f" {word} ") + 1 + len(word), "materiality": "ordinary" if ident % 3 == 0 else "material"}
+    claim = {"text": word, "kind": "checkable", **span}
+    candidate = {"finding_type": "factual_contradiction", "summary": "said otherwise", "query": f"notice check {ident}", **span, "materiality": "material"}
+    return json.dumps({"revision_id": ident, "claims": [claim], "candidates": [candidate]})
+
+
+def _wire_search(query: str, limit: int) -> list[tuple]:
+    return [(f"https://ev.test/{query.split()[-1]}", "hit", "search", None)]
+
+
+def _wire_page(url: str) -> Response:
+    found = int(url.rsplit("/", 1)[-1]) % 2 == 1
+    return Response(200 if found else 404, url, "text/html", b"<article><p>found</p></article>" if found else b"")
+
+
+_QUEUE = f"""wire AS MATERIALIZED ({WIRE}),
+queue AS MATERIALIZED (SELECT * FROM wire WHERE revision_id > (SELECT max(revision_id) - 130 FROM wire) ORDER BY revision_id LIMIT 20),
+pool AS MATERIALIZED (SELECT * FROM wire ORDER BY fetched_epoch DESC, revision_id DESC LIMIT 100),
+seen AS MATERIALIZED (SELECT * FROM queue UNION SELECT * FROM pool)"""
+_PENDING = _all(
+    "WITH " + _QUEUE + "," + _pair_sql("seen").replace("l.revision_id < r.revision_id", "l.revision_id <> r.revision_id AND l.revision_id IN (SELECT revision_id FROM queue) AND r.revision_id IN (SELECT revision_id FROM pool)")
+    + "," + _NUMBERS.replace("FROM wire", "FROM seen") + "," + _CONTEXTS + "," + _VERBS.replace("FROM wire", "FROM seen")
+)
+_FOUND = _PENDING + """,
+asked AS (SELECT revision_id, CAST(instr(text, concat(' ', split_part(text, ' ', 3), ' ')) AS INT) AS start, CAST(instr(text, concat(' ', split_part(text, ' ', 3), ' ')) + length(split_part(text, ' ', 3)) AS INT) AS "end" FROM queue WHERE revision_id % 7 <> 0),
+found AS (SELECT revision_id, CAST(NULL AS BIGINT) AS peer_id, 'factual_contradiction' AS finding_type, 'said otherwise' AS summary, start, "end",
+  CASE WHEN revision_id % 2 = 1 THEN 'retrieved' ELSE 'retrieval_failed' END AS evidence_status, false AS visible FROM asked WHERE revision_id % 3 <> 0
+  UNION ALL SELECT left_id, right_id, 'material_cross_media_difference', summary, start, "end", 'retrieved', true FROM diff WHERE left_id % 7 <> 0)"""
+
+
+def _pending_run(spark, sf_dir):
     w = view(spark, sf_dir, "wire")
-    kinds = TP.first_difference(high := TP.pairs(w, "high"), TP.mentions(w)).select("left_id", "right_id", "kind")
-    counts = high.join(kinds, ["left_id", "right_id"], "left").agg(F.count(F.lit(1)).alias("high_pairs"), F.count("kind").alias("candidates"), F.count_if(F.col("kind") == "numeric").alias("numeric_candidates"))
-    claims = TP.numeric_table(w).agg(F.count(F.lit(1)).alias("claims"))
-    return counts.crossJoin(claims)  # one row each
+    last = w.agg(F.max("revision_id").alias("last"))
+    done = w.join(last, F.col("revision_id") <= F.col("last") - 130).select("revision_id")
+    return AN.run_pending(w, done, _wire_provider, _wire_search, _wire_page)
+
+
+@query(_PENDING + " SELECT left_id AS revision_id, right_id AS peer_id, label FROM pairs WHERE confidence = 'high'")
+def pending_context(spark, sf_dir):
+    """The first pending revisions with their high peers among the newest; both limits are the feature."""
+    w = view(spark, sf_dir, "wire")
+    last = w.agg(F.max("revision_id").alias("last"))
+    queue = RV.pending(w, w.join(last, F.col("revision_id") <= F.col("last") - 130))
+    return TP.pairs(queue, "high", RV.recent(w)).select(F.col("left_id").alias("revision_id"), F.col("right_id").alias("peer_id"), "label")
+
+
+@query(_FOUND + " SELECT * FROM found")
+def pending_analysis(spark, sf_dir):
+    """Provider and topic findings of the pending revisions, as one run saves them."""
+    return _pending_run(spark, sf_dir).findings.select("revision_id", "peer_id", "finding_type", "summary", "start", "end", "evidence_status", "visible")
+
+
+@query(_FOUND + " SELECT (SELECT count(*) FROM asked) AS claims, count(*) AS candidates, count(*) FILTER (WHERE visible) AS visible_findings, count(*) FILTER (WHERE NOT visible) AS pending, count(*) FILTER (WHERE evidence_status = 'retrieval_failed') AS retrieval_failures FROM found")
+def analysis_summary(spark, sf_dir):
+    return _pending_run(spark, sf_dir).summary
 
 
 # -- claims, evidence, findings ---------------------------------------------------------
@@ -436,23 +503,34 @@ def annotation_segments(spark, sf_dir):
     return FI.annotation_segments(rows)
 
 
-@query(_ALL + " SELECT w.revision_id, w.title, w.host_key AS source, count(d.left_id) AS findings FROM wire w LEFT JOIN diff d ON d.left_id = w.revision_id GROUP BY ALL")
+@query(_BOTH + " SELECT w.revision_id, w.title, w.host_key AS source, count(d.left_id) AS findings FROM wire w LEFT JOIN diff d ON d.left_id = w.revision_id GROUP BY ALL")
 def inbox(spark, sf_dir):
     w = view(spark, sf_dir, "wire")
-    found = TP.differences(w).groupBy(F.col("left_id").alias("revision_id")).agg(F.count(F.lit(1)).alias("n"))
+    found = _both_sides(w).groupBy(F.col("left_id").alias("revision_id")).agg(F.count(F.lit(1)).alias("n"))
     return w.join(found, "revision_id", "left").select("revision_id", "title", F.col("host_key").alias("source"), F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
 
 
-@query(_ALL + " SELECT 'material_cross_media_difference' AS finding_type, 'retrieved' AS evidence_status, summary FROM diff")
+@query(_BOTH + " SELECT 'Material cross-media difference' AS finding, 'Evidence retrieved' AS evidence, summary FROM diff")
 def findings_view(spark, sf_dir):
     shown = pending_analysis_flagship(spark, sf_dir).where("visible")
-    return shown.select(F.lit("material_cross_media_difference").alias("finding_type"), "evidence_status", "summary")
+    return shown.select(R.label(F.lit("material_cross_media_difference"), V.FINDING_LABELS).alias("finding"), R.label(F.col("evidence_status"), V.STATUS_LABELS).alias("evidence"), "summary")
 
 
 # -- markup ---------------------------------------------------------------------------
 
 
-@query()
+def _sql_replaced(text: str, *pairs: tuple[str, str]) -> str:
+    for pattern, by in pairs:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
+_DROPS = [(f"(?is)<{t}\\b.*?</{t}\\s*>", "''") for t in sorted(M.DROPPED)]
+_UNESCAPED = [("&quot;?", "chr(34)"), ("&amp;?", "'&'"), (r"\s+", "' '")]
+_BLOCKS = _sql_replaced("html", *_DROPS, ("(?s)<!--.*?-->", "''"), (r"(?i)<(h[1-6]|li|p)(\s[^>]*)?>", "chr(1)"), (r"(?i)</(h[1-6]|li|p)\s*>", "chr(2)"), ("<[^>]*>", "''"))
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all({_BLOCKS}, '\x01([^\x01\x02]*)\x02', 1), lambda b: trim({_sql_replaced('b', *_UNESCAPED)})), lambda b: b <> ''), chr(10)) AS text FROM pages")
 def page_text(spark, sf_dir):
     return M.articles(table(spark, sf_dir, "pages")).select("page_id", "text")
 
@@ -462,7 +540,13 @@ def page_title(spark, sf_dir):
     return M.articles(table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
-@query()
+@query(f"""
+SELECT url AS source_url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY nr) - 1 AS INT) AS pos,
+       concat(regexp_extract(url, '^https?://[^/?#]*'), regexp_extract(link, 'href="([^"]*)"', 1)) AS url, title, CAST(NULL AS VARCHAR) AS published_at, CAST(NULL AS VARCHAR) AS lastmod
+FROM (SELECT *, trim({_sql_replaced("regexp_extract(link, '>([^<]*)<', 1)", *_UNESCAPED)}) AS title
+      FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS link, unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS nr FROM pages) t) u
+WHERE title <> ''
+""")
 def html_list_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("url", F.lit("text/html").alias("content_type"), F.encode(F.replace(F.col("html"), F.lit("nav>"), F.lit("section>")), "UTF-8").alias("body"))
     return M.candidates(pages)  # the pages' only anchors stand in navigation, which list pages ignore
@@ -484,7 +568,7 @@ def feed_atom(spark, sf_dir):
     return _feed(spark, sf_dir, '<feed xmlns="http://www.w3.org/2005/Atom">', '<entry><link rel="self" href="https://no.test/"/><link href="%s"/><title>Entry %d</title><updated>2024-01-02</updated></entry>', "</feed>")
 
 
-@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, '' AS title, CAST(NULL AS VARCHAR) AS published_at, concat('2024-', CAST(page_id AS VARCHAR)) AS lastmod FROM pages")
+@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, '' AS title, concat('2024-', CAST(page_id AS VARCHAR)) AS published_at, concat('2024-', CAST(page_id AS VARCHAR)) AS lastmod FROM pages")
 def feed_sitemap(spark, sf_dir):
     return _feed(spark, sf_dir, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "<url><loc>%s</loc><lastmod>2024-%d</lastmod></url>", "</urlset>")
 
@@ -534,3 +618,30 @@ FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('token=', url) WHEN 1
 def shown_metadata(spark, sf_dir):
     value = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("token="), "url")).when(F.col("page_id") % 4 == 1, F.repeat("url", 9)).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", AN.safe_metadata(value).alias("shown"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('https://e.test/', CAST(event_id AS VARCHAR), '?q=', event_type) END AS href,
+       CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'Evidence' ELSE concat('A &amp; ', event_type) END AS title,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('search · ', CAST(user_id AS VARCHAR)) END AS details
+FROM events
+""")
+def evidence_links(spark, sf_dir):
+    n = F.col("event_id") % 4
+    url = F.concat(F.lit("https://e.test/"), F.col("event_id").cast("string"), F.lit("?q="), F.when(n == 0, F.lit("to%25256ben%253D")).otherwise(""), F.col("event_type"))
+    title = F.when(n == 1, F.lit("password: x")).otherwise(F.concat(F.lit("A & "), "event_type"))
+    link = AN.evidence_link(url, title, F.lit("search"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", link.alias("l")).select("event_id", "l.href", "l.title", "l.details")
+
+
+@query("SELECT u.url, max_by(a.event_type, a.event_id) AS metadata FROM (SELECT DISTINCT concat('u', CAST(user_id % 500 AS VARCHAR)) AS url FROM events) u LEFT JOIN events a ON u.url = concat('u', CAST(a.user_id AS VARCHAR)) AND a.user_id % 2 = 0 GROUP BY u.url")
+def article_metadata(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    name = lambda i: F.concat(F.lit("u"), i.cast("string")).alias("url")
+    known = e.where("user_id % 2 = 0").select(name(F.col("user_id")), "event_id", F.col("event_type").alias("metadata"))
+    return RV.metadata_of(RV.upsert(known, "url", "event_id"), e.select(name(F.col("user_id") % 500)))
+
+
+@query("SELECT count(*) AS sources, count(*) FILTER (WHERE s_suppkey % 5 <> 0) AS enabled FROM supplier")
+def source_count(spark, sf_dir):
+    return RV.source_counts(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5 != 0).alias("enabled")))

@@ -11,6 +11,10 @@ FINDING_TYPES = ("factual_contradiction", "material_cross_media_difference", "un
 FINDING_STATUSES = ("pending", "resolved", "dismissed")
 TOPIC_CONFIDENCES = ("high", "possible", "low")
 
+# Words shown for findings and for the state of their evidence.
+FINDING_LABELS = {"factual_contradiction": "Factual contradiction", "material_cross_media_difference": "Material cross-media difference", "unsupported_inference": "Unsupported inference"}
+STATUS_LABELS = {"pending": "Pending check", "retrieval_failed": "Retrieval failed", "insufficient_scope": "Insufficient scope", "retrieved": "Evidence retrieved"}
+
 # Word lists of the topic comparison.
 STOPWORDS = ("a", "an", "and", "after", "at", "by", "for", "from", "in", "of", "on", "or", "the", "that", "this", "to", "with", "reported", "reports", "said", "says")
 DATE_UNITS = (
