@@ -3,16 +3,21 @@
 Pages of one host are filled-in copies of a template. Every token of a page, an opening
 tag or a whole text node together with the path of tags above it, has an occurrence
 vector: how often it stands on each page of the host. Tokens with the same vector form
-an equivalence class. Classes that stand on nearly all pages of the host make the
-template; what stands between its tokens are slots. Order and nesting of occurrences are
-left out, so layouts on a smaller part of a host's pages have no template of their own.
+an equivalence class. The class of what stands once on every page is the root. Another
+class is nested in it if it is valid: on all its pages its tokens come in one order, and
+each stands in the same gap between the root's tokens. Classes on nearly all pages of the
+host, and those of a layout on some of them, make the template; what stands between its
+tokens are slots. Text that some pages merely repeat has no tag of its own, so a class of
+a layout must hold one.
 
 A vector is kept as a fingerprint: the exclusive or of one hash for each (page, count),
 with the number of pages and occurrences. It is built by partial aggregation, so a host
-with a third of all pages is folded before the shuffle.
+with a third of all pages is folded before the shuffle. Order and gaps of a class are one
+hash a page, and valid where the least and the largest of them are equal.
 
 The text of a page is the contents of the slots that lie in its main part: inside
-``article`` or ``main`` where there is one, and never under navigation, headers of the
+``article`` or ``main`` where there is one, else inside the smallest element that holds
+most of what the slots hold; and never under navigation, headers of the
 page, footers, asides, forms, scripts, notices, adverts or comments. Text nodes that
 belong to the template are dropped there as well, unless that leaves nothing, or less
 than half of a part marked as main: then the page is one of many copies or near copies,
@@ -38,6 +43,8 @@ MIN_PAGES, MIN_TOKENS, SHARE = 2, 3, 0.9
 EVIDENCE = 24
 #: Least share of a marked main part that lies in slots, where template texts are dropped.
 SLOTS = 0.5
+#: Share of the slots' text that an element must hold to be the main part of a page without one.
+MAIN = 0.8
 #: Template tokens and hosts up to which the templates go to every executor.
 BROADCAST_TOKENS = 1_000_000
 #: Tokens counted in a task before they are handed on.
@@ -69,7 +76,7 @@ def _outside(name: str, attrs: dict[str, str], in_main: bool) -> bool:
     """Whether an element is not part of a page's main text."""
     if name in OUTSIDE or attrs.get("role", "").lower() in OUTSIDE_ROLES or (name == "header" and not in_main):
         return True
-    if name in ("html", "body", "main"):
+    if name in ("html", "body", "main", "article") or attrs.get("role", "").lower() in ("main", "article"):
         return False
     words = re.split(r"[\s_-]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
     return not OUTSIDE_NAMES.isdisjoint(words) or (not in_main and "header" in words)
@@ -143,14 +150,38 @@ def _key(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{' '.join(text.split())}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def page_tokens(page: str) -> Counter:
-    """Occurrences of each token of a page; blank text nodes are none."""
-    return Counter(_key(path, value if kind == "text" else "") for kind, path, value, _, _ in walk(page) if kind == "tag" or kind == "text" and value.strip())
+def page_tokens(page: str) -> tuple[Counter, set[int]]:
+    """Occurrences of each token of a page, and which are tags; blank text nodes are none."""
+    found, tags = Counter(), set()
+    for kind, path, value, _, _ in walk(page):
+        if kind == "tag":
+            tags.add(key := _key(path))
+            found[key] += 1
+        elif kind == "text" and value.strip():
+            found[_key(path, value)] += 1
+    return found, tags
+
+
+def _main_part(nodes: list, template: frozenset[int]) -> tuple[int, int]:
+    """Nodes from and to of the smallest element that holds ``MAIN`` of the slots' text."""
+    before, spans, open_ = [0], [], []
+    for k, (kind, path, value, out, _) in enumerate(nodes):
+        slot = kind == "text" and not out and _key(path, value) not in template
+        before.append(before[-1] + (len(value.strip()) if slot else 0))
+        if kind == "tag" and value not in VOID:
+            open_.append(k)
+        elif kind == "end" and open_:
+            spans.append((open_.pop(), k + 1))
+    spans += [(k, len(nodes)) for k in open_]
+    fitting = [(b - a, a, b) for a, b in spans if before[b] - before[a] >= MAIN * before[-1]]
+    return min(fitting)[1:] if before[-1] and fitting else (0, len(nodes))
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """Blocks of the main part joined by an empty line; template text nodes are left out.
 
+    A page without a marked main part has it where its slots hold most text.
+
     They stay where no text lies in a slot, or less than ``SLOTS`` of a marked main part.
     """
     nodes = list(walk(page))
@@ -161,6 +192,9 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
         filled = sum(n for n, fixed in sizes if not fixed)
         if not filled or inside and filled < SLOTS * sum(n for n, _ in sizes):
             template = frozenset()
+    if template and not inside:
+        first, last = _main_part(nodes, template)
+        nodes = nodes[first:last]
 
     def close():
         block = " ".join(html.unescape("".join(parts)).split())
@@ -197,8 +231,8 @@ def distinct_pages(rows: DataFrame) -> DataFrame:
     return single.unionByName(first.select("host", "ident", "html"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:
-    """(host, template array<long>): tokens of the classes that make each host's template."""
+def candidates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:
+    """(host, classes array<struct<token,class>>): tokens of classes with evidence; class 0 is the root."""
 
     def count(batches):
         seen: dict[tuple[str, int], list[int]] = {}
@@ -206,11 +240,11 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MI
         def flush():
             rows = [(h, t, *v) for (h, t), v in seen.items()]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(5)], ["host", "token", "vector", "pages", "times"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(6)], ["host", "token", "vector", "pages", "times", "tag"])
 
         for batch in batches:
             for host, ident, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = page_tokens(page)
+                tokens, tags = page_tokens(page)
                 tokens[0] = 1  # the page as a whole
                 marks: dict[int, int] = {}
                 for token, times in tokens.items():
@@ -219,7 +253,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MI
                         mark = marks[times] = xxhash.xxh64_intdigest(f"{ident}:{times}") - (1 << 63)
                     entry = seen.get((host, token))
                     if entry is None:
-                        seen[host, token] = [mark, 1, times]
+                        seen[host, token] = [mark, 1, times, int(token in tags)]
                     else:
                         entry[0] ^= mark
                         entry[1] += 1
@@ -228,24 +262,58 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MI
                     yield flush()
         yield flush()
 
-    vectors = pages.select("host", "ident", "html").mapInArrow(count, "host string, token long, vector long, pages long, times long")
-    tokens = vectors.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"))
+    vectors = pages.select("host", "ident", "html").mapInArrow(count, "host string, token long, vector long, pages long, times long, tag long")
+    tokens = vectors.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.max("tag").alias("tag"))
     frequent = materialize(tokens.where(F.col("pages") >= min_pages), "tokens")
-    roots = frequent.where("token = 0").select("host", F.col("pages").alias("of"))
-    classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") >= min_tokens) & (F.col("size") * F.col("pages") >= EVIDENCE))
-    valid = classes.join(roots, "host").where(F.col("pages") >= F.col("of") * share).select("host", "vector", "pages", "times")
-    return frequent.where("token <> 0").join(valid, ["host", "vector", "pages", "times"]).groupBy("host").agg(F.collect_set("token").alias("template"))
-
-
-def _with_template(rows: DataFrame, found: DataFrame, broadcast_tokens: int) -> DataFrame:
-    """Pages with the template of their host.
+    key = ["host", "vector", "pages", "times"]
+    roots = frequent.where("token = 0").select("host", F.col("pages").alias("of"), F.col("vector").alias("root"))
+    classes = frequent.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("tag").alias("tag")).join(roots, "host")
+    is_root = (F.col("vector") == F.col("root")) & (F.col("pages") == F.col("of")) & (F.col("times") == F.col("of"))
+    enough = (F.col("size") >= min_tokens) & (F.col("size") * F.col("pages") >= EVIDENCE)
+    # The root takes part in any case, as what the others are nested in.
+    kept = classes.where(is_root | enough & ((F.col("pages") >= F.col("of") * share) | (F.col("tag") > 0)))
+    name = F.when(is_root, 0).otherwise(F.xxhash64("vector", "pages", "times")).alias("class")
+    named = kept.select(*key, name, enough.alias("enough"))
+    return frequent.where("token <> 0").join(named, key).groupBy("host").agg(F.collect_list(F.struct("token", "class", "enough")).alias("classes"))
+
+
+def templates(pages: DataFrame, found: DataFrame, broadcast_tokens: int) -> DataFrame:
+    """(host, template array<long>): tokens of the valid classes of ``found``."""
+
+    def order(batches):
+        for batch in batches:
+            out: dict[tuple[str, int], list[int]] = {}
+            for host, page, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = {c["token"]: c["class"] for c in classes or ()}
+                gap, runs = 0, {}
+                for kind, path, value, _, _ in walk(page) if own else ():
+                    if kind == "tag" or kind == "text" and value.strip():
+                        token = _key(path, value if kind == "text" else "")
+                        name = own.get(token)
+                        if name is not None:
+                            gap += name == 0
+                            runs.setdefault(name, xxhash.xxh64()).update(f"{token}:{gap};")
+                for name, run in runs.items():
+                    seen = run.intdigest() - (1 << 63)
+                    held = out.setdefault((host, name), [seen, seen])
+                    held[:] = min(held[0], seen), max(held[1], seen)
+            keys = list(out)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *[pa.array(x, pa.int64()) for x in ([k[1] for k in keys], [out[k][0] for k in keys], [out[k][1] for k in keys])]], ["host", "class", "low", "high"])
+
+    orders = _with_template(pages.select("host", "html"), found, broadcast_tokens, "classes").select("host", "html", "classes").mapInArrow(order, "host string, class long, low long, high long")
+    valid = orders.groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high").select("host", "class")
+    tokens = found.select("host", F.explode("classes").alias("c")).select("host", "c.*").where("enough")
+    return tokens.join(valid, ["host", "class"]).groupBy("host").agg(F.collect_set("token").alias("template"))
+
+
+def _with_template(rows: DataFrame, held: DataFrame, broadcast_tokens: int, column: str = "template") -> DataFrame:
+    """Pages with the template of their host; ``held`` is a written table.
 
     Templates of a measured size at most ``broadcast_tokens`` go to the pages, which then
     stay where they are. Larger ones meet the pages in an equi-join by host, whose hot
     hosts adaptive execution can split.
     """
-    held = materialize(found, "templates")
-    size = held.agg(F.coalesce(F.sum(F.size("template") + 1), F.lit(0))).first()[0]
+    size = held.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0))).first()[0]
     return rows.join(F.broadcast(held) if size <= broadcast_tokens else held.hint("merge"), "host", "left")
 
 
@@ -258,7 +326,9 @@ def extract(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataF
     """
     rows = required(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
     rows = rows.withColumn("ident", F.xxhash64("page_id", "url", "html"))
-    found = templates(distinct_pages(rows))
+    pages_ = distinct_pages(rows)
+    classes = materialize(candidates(pages_), "classes")
+    found = materialize(templates(pages_, classes, broadcast_tokens), "templates")
 
     def run(batches):
         for batch in batches:
