@@ -198,26 +198,28 @@ def exact_top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: in
         return vectors.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
     asked = vectors.where(F.col("dim").isin(list(sizes)))
 
-    splits, deals = {}, {}
+    splits = {}
     for d, (n, _) in sizes.items():
         wanted = math.ceil(n / shard)
         own = asked.where(F.col("dim") == d).select("v")
         some = own if n <= SAMPLE else own.sample(min(1.0, 0.9 * SAMPLE / n), 42)
         splits[d] = Splits(_matrix(some.limit(SAMPLE).toPandas()["v"]), wanted) if wanted > 1 else Splits(np.zeros((0, d), dtype=np.int64), 1)
-        deals[d] = math.ceil(wanted / max(splits[d].parts, 1))  # shards a part, where the sample gives too few parts
 
     def place(batches):
         for batch in batches:
             out = np.zeros((2, len(batch)), dtype=np.int64)
             for d, at in batch.groupby("dim").indices.items():
                 x = _matrix(batch["v"].iloc[at])
-                parts, deal = splits[d].of(x), deals[d]
-                hashed = (batch["row"].to_numpy()[at] * 0x9E3779B1 >> 7) % deal
-                out[0, at] = parts * deal + hashed
-                out[1, at] = splits[d].of(x, signs=True) * deal + hashed
-            yield batch.assign(shard=out[0], first=out[1])
+                out[0, at], out[1, at] = splits[d].of(x), splits[d].of(x, signs=True)
+            yield batch.assign(part=out[0], turn=out[1])
 
-    placed = materialize(asked.mapInPandas(place, "row long, vec_id long, v array<long>, dim int, shard long, first long"), "placed")
+    parted = materialize(asked.mapInPandas(place, "row long, vec_id long, v array<long>, dim int, part long, turn long"), "parted")
+    # A part that is larger than a shard, as of many equal vectors, is dealt over several.
+    deals = materialize(parted.groupBy("dim", "part").agg(F.ceil(F.count(F.lit(1)) / shard).alias("deal")), "deals")
+    dealt = lambda part, deal: F.col(part) * (1 << 24) + F.pmod(F.xxhash64("row"), F.col(deal))
+    turns = deals.select("dim", F.col("part").alias("turn"), F.col("deal").alias("turns"))
+    numbered = parted.join(deals, ["dim", "part"]).join(turns, ["dim", "turn"], "left")
+    placed = materialize(numbered.select("row", "vec_id", "v", "dim", dealt("part", "deal").alias("shard"), F.coalesce(dealt("turn", "turns"), dealt("part", "deal")).alias("first")), "placed")
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row", kind="stable")
@@ -272,8 +274,9 @@ def exact_top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: in
     boxes = boxes.select("dim", "block", F.col("box.low").alias("qlow"), F.col("box.high").alias("qhigh"), "floor")
     bound = _corners(F.col("low"), F.col("high"), F.col("qlow"), F.col("qhigh"))
     reach = boxes.join(trees.select("dim", "shard", "low", "high"), "dim").withColumn("bound", bound).where("bound >= floor").select("dim", "block", "shard", "bound")
-    groups = F.create_map(*[F.lit(x) for d, (n, _) in sizes.items() for x in (d, max(1, math.ceil(splits[d].parts * deals[d] / row)))])[F.col("dim")]
-    reach = materialize(reach.withColumn("grp", F.pmod(F.col("shard"), groups).cast("int")), "reach")
+    shards_of = {r.dim: r.n for r in trees.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = F.create_map(*[F.lit(x) for d, n in shards_of.items() for x in (d, math.ceil(n / row))])[F.col("dim")]
+    reach = materialize(reach.withColumn("grp", F.pmod(F.xxhash64("shard"), groups).cast("int")), "reach")
     asking = left.join(reach.select("dim", "block", "grp").distinct(), ["dim", "block"])
     shards = reach.join(trees.select("dim", "shard", "tree"), ["dim", "shard"])
     found = start.unionByName(met(asking, shards, ["dim", "block", "grp"]))

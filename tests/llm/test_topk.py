@@ -34,6 +34,13 @@ def test_vectors_of_one_value_and_no_vectors(spark):
     assert topk.exact_top_k(frame.where("false")).collect() == []
 
 
+def test_one_vector_on_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [0.5, -0.25, 1.0] if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.exact_top_k(frame, shard=20, block=3).collect()) == brute(rows)
+
+
 def test_splits_are_whole_and_even():
     x = np.random.default_rng(1).integers(-500, 500, (4000, 6))
     parts = topk.Splits(x, 40)
