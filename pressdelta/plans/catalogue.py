@@ -409,10 +409,10 @@ def pending_context(spark, sf_dir):
     return TP.pairs(queue, "high", RV.recent(w)).select(F.col("left_id").alias("revision_id"), F.col("right_id").alias("peer_id"), "label")
 
 
-@query(_FOUND + " SELECT * FROM found")
+@query(_FOUND + ' SELECT revision_id, CAST(peer_id AS VARCHAR) AS peer_id, finding_type, summary, start, "end", evidence_status, visible FROM found')
 def pending_analysis(spark, sf_dir):
     """Provider and topic findings of the pending revisions, as one run saves them."""
-    return _pending_run(spark, sf_dir).findings.select("revision_id", "peer_id", "finding_type", "summary", "start", "end", "evidence_status", "visible")
+    return _pending_run(spark, sf_dir).findings.select("revision_id", F.col("peer_id").cast("string").alias("peer_id"), "finding_type", "summary", "start", "end", "evidence_status", "visible")
 
 
 @query(_FOUND + " SELECT (SELECT count(*) FROM asked) AS claims, count(*) AS candidates, count(*) FILTER (WHERE visible) AS visible_findings, count(*) FILTER (WHERE NOT visible) AS pending, count(*) FILTER (WHERE evidence_status = 'retrieval_failed') AS retrieval_failures FROM found")
