@@ -153,7 +153,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> Model | No
     """Train on rows whose crc32(doc_id as text) mod 3 is not 1; None if there is no label.
 
     About ``per_lang`` documents of each language are used; the choice depends on doc_id
-    alone. Rows with null doc_id, text or lang are not used.
+    alone, and of rows that repeat a doc_id and lang one is used, so the sample is bounded.
+    Rows with null doc_id, text or lang are not used.
     """
     known = required(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -161,7 +162,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> Model | No
         return None
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_lang / n))])
-    sample = known.where(drawn < share[F.col("lang")])
+    drawn_ = known.where(drawn < share[F.col("lang")])
+    sample = drawn_.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for batch in batches:

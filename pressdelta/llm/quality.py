@@ -114,7 +114,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Train on labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
-    About ``per_label`` documents of each label are used, chosen by a hash of doc_id;
+    About ``per_label`` documents of each label are used, chosen by a hash of doc_id, one row
+    of those that repeat it;
     of each the dictionary takes an excerpt of at most ``EXCERPT`` bytes, drawn in pieces
     from its whole length. Without labels the score is 0.5 everywhere.
     """
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     share = F.create_map(*[F.lit(v) for q, n in sizes.items() for v in (q, min(1.0, per_label / n))])
     chosen = known.where(drawn < share[F.col("quality")])  # about 2 * per_label ids: bounded
     texts = required(docs, "doc_id", "text").where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1000)) < int(1000 * CALIBRATION)
     build = rows.where(~part)
     excerpts = sorted((r.doc_id, r.quality, bytes(r.excerpt)) for r in _excerpts(build.select("doc_id", "quality", "text")).collect())
