@@ -16,8 +16,9 @@ and the search of ``simhash`` is carried over:
 4. whole fingerprints verify: three standard deviations inside the similarity a pair is
    linked, three outside it is not, and in between the whole shingle sets decide.
 
-Buckets are cut into blocks whose pairs are units of bounded size. A unit gives a forest
-of its links or the members that still wait for their sets, never its pairs.
+Buckets are cut into units of bounded size (see ``blocks``): texts that a few members of a
+large bucket link are not compared with each other again. A unit gives a forest of its
+links or the members that still wait for their sets, never its pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import bucket_sizes, first_units, later_units
 from .common import discard, keep_one, materialize, required
 from .graph import components
 from .simhash import PAIR_COST, _ball, _shared_probes, _signed, correlated_groups, forest
@@ -226,15 +228,6 @@ def _probes(partitions: list[tuple[int, list[int], int]]):
     return F.explode(F.concat(*every) if len(every) > 1 else every[0])
 
 
-def _units(members: DataFrame, block: int) -> DataFrame:
-    """Members of buckets of two or more, once for each pair of blocks that they take part in."""
-    sizes = members.groupBy("part", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    rows = members.join(sizes, ["part", "value"]).select(*members.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return rows.select(*members.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-
 def _by_unit(rows: DataFrame, one, schema: str) -> DataFrame:
     """``one(table, pairs)`` over whole units; pairs are index arrays of rows that meet."""
 
@@ -300,12 +293,12 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int
     loose = int(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
 
     def suspects(table, pairs):
-        n, check = table.column("n").to_numpy(), table.column("check").to_numpy().view(np.uint64)
+        n, check, roots = table.column("n").to_numpy(), table.column("check").to_numpy().view(np.uint64), table.column("root").to_numpy()
         seen = np.zeros(len(n), dtype=bool)
         for x, y in pairs:
-            near = _fit(n, x, y, similarity) & (np.bitwise_count(check[x] ^ check[y]) <= loose)
+            near = _fit(n, x, y, similarity) & (np.bitwise_count(check[x] ^ check[y]) <= loose) & (roots[x] != roots[y])
             seen[x[near]] = seen[y[near]] = True
-        return table.select([*KEY, "own", "id"]).filter(pa.array(seen))
+        return table.select([*KEY, "own", "id", "root"]).filter(pa.array(seen))
 
     def compared(table, pairs):
         """Pairs as (x, y, differing bits, their number, expected limit, deviation)."""
@@ -319,15 +312,15 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int
             yield x, y, differ, np.bitwise_count(differ).sum(axis=1, dtype=np.int64), *limits(n[x].astype(float), n[y].astype(float), similarity)
 
     def verify(table, pairs):
-        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+        known, part = table.column("root").to_numpy(), table.column("part").to_numpy()
         sure, grey, held = [], [], 0
         for x, y, differ, d, limit, deviation in compared(table, pairs):
-            inside = (d <= limit - SURE * deviation) & (ids[x] != ids[y])
-            sure.append((ids[x[inside]], ids[y[inside]]))
+            inside = (d <= limit - SURE * deviation) & (known[x] != known[y])
+            sure.append((known[x[inside]], known[y[inside]]))
             held += int(inside.sum())
-            if held > 4 * len(ids) + 100_000:
-                sure, held = [forest(*(np.concatenate(c) for c in zip(*sure, strict=True)))], len(ids)
-            between = (d > limit - SURE * deviation) & (d <= limit + SURE * deviation) & (ids[x] != ids[y])
+            if held > 4 * len(known) + 100_000:
+                sure, held = [forest(*(np.concatenate(c) for c in zip(*sure, strict=True)))], len(known)
+            between = (d > limit - SURE * deviation) & (d <= limit + SURE * deviation) & (known[x] != known[y])
             x, y, differ = x[between], y[between], differ[between]
             first = _first_meeting(differ, part[x], partitions)
             grey.append((x[first], y[first]))
@@ -335,12 +328,12 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int
             return None
         a, b = forest(*(np.concatenate(c) for c in zip(*sure, strict=True)))
         x, y = (np.concatenate(c) for c in zip(*grey, strict=True))
-        at = np.searchsorted(a, ids) if len(a) else np.zeros(len(ids), dtype=np.int64)
-        root = np.where(a[np.minimum(at, len(a) - 1)] == ids, b[np.minimum(at, len(a) - 1)], ids) if len(a) else ids
+        at = np.searchsorted(a, known) if len(a) else np.zeros(len(known), dtype=np.int64)
+        root = np.where(a[np.minimum(at, len(a) - 1)] == known, b[np.minimum(at, len(a) - 1)], known) if len(a) else known
         waits = np.unique(np.concatenate([z[root[x] != root[y]] for z in (x, y)]))
-        members = table.select([*KEY, "own", "id"]).take(pa.array(waits))
+        members = table.select([*KEY, "own", "id", "root"]).take(pa.array(waits))
         none = pa.nulls(len(a), pa.int32())
-        links = pa.table({"part": none, "value": pa.nulls(len(a), pa.int64()), "i": none, "j": none, "own": none, "id": pa.array(a), "peer": pa.array(b)})
+        links = pa.table({"part": none, "value": pa.nulls(len(a), pa.int64()), "i": none, "j": none, "own": none, "id": pa.array(a), "root": pa.array(b), "peer": pa.array(b)})
         return pa.concat_tables([members.append_column("peer", pa.nulls(len(waits), pa.int64())), links])
 
     def decide(table, pairs):
@@ -366,21 +359,33 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int
                         found.append((ids[a].item(), ids[b].item()))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
+    def search(units, known):
+        """Components of ``known`` and the links that the units give."""
+        met = _by_unit(units, suspects, f"{key}, own int, id long, root long")
+        seen = materialize(_by_unit(met.join(whole, "id"), verify, f"{key}, own int, id long, root long, peer long"), "verified")
+        edges = seen.where("peer IS NOT NULL").select(F.col("id").alias("a"), F.col("peer").alias("b"))
+        if known is not None:
+            edges = edges.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(edges)
+        waits = seen.where("peer IS NULL").drop("peer", "root").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = waits.groupBy(*KEY).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(*KEY)
+        open_ = materialize(waits.join(mixed, KEY), "open")
+        sets = _sets(texts.join(open_.select("id").distinct(), "id", "left_semi")).dropDuplicates(["id"])
+        near = materialize(_by_unit(open_.join(whole, "id").join(sets, "id"), decide, "a long, b long"), "decided")
+        if not near.isEmpty():
+            linked = near.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots, done = components(linked), roots
+            discard(done)
+        discard(seen, open_, near)
+        return roots
+
     filed = sketches.select("id", "n", _probes(partitions).alias("p")).select("id", "n", "p.part", "p.value", "p.check")
-    met = _by_unit(_units(filed, block), suspects, f"{key}, own int, id long")
     whole = sketches.select("id", "n", "words")
-    seen = materialize(_by_unit(met.join(whole, "id"), verify, f"{key}, own int, id long, peer long"), "verified")
-    edges = seen.where("peer IS NOT NULL").select(F.col("id").alias("a"), F.col("peer").alias("b"))
-    roots = components(edges)
-    waits = seen.where("peer IS NULL").drop("peer").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = waits.groupBy(*KEY).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(*KEY)
-    open_ = materialize(waits.join(mixed, KEY), "open")
-    sets = _sets(texts.join(open_.select("id").distinct(), "id", "left_semi")).dropDuplicates(["id"])
-    near = materialize(_by_unit(open_.join(whole, "id").join(sets, "id"), decide, "a long, b long"), "decided")
-    if near.isEmpty():
-        return roots.select(F.col("node").alias("id"), "root")
-    out = components(near.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    discard(sketches, seen, open_, near)
+    sizes = materialize(bucket_sizes(filed), "buckets")
+    roots = search(first_units(filed, sizes, block), None)
+    units = materialize(later_units(filed, sizes, roots, block), "mixed")
+    out = roots if units.isEmpty() else search(units, roots)
+    discard(sketches, sizes, units, *([roots] if out is not roots else []))
     return out.select(F.col("node").alias("id"), "root")
 
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from pressdelta.llm import neardup
+from pressdelta.llm import blocks, neardup
 
 
 def jaccard(a, b):
@@ -100,3 +100,21 @@ def test_near_stage_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in neardup.drop_near_similar(docs).collect()) == [3, 7]
     assert neardup.drop_near_similar(docs.where("false")).count() == 0
+
+
+def test_members_of_one_component_are_not_compared_again(spark):
+    """A bucket of one component leaves no later unit, and outsiders meet every member of it."""
+    members = spark.range(1000).selectExpr("id", "1 AS part", "2L AS value")
+    sizes = blocks.bucket_sizes(members)
+    one = spark.range(1000).selectExpr("id AS node", "0L AS root")
+    assert blocks.later_units(members, sizes, one, 50).isEmpty()
+    known = one.where("node < 970")
+    units = [(r.id, r.root, r.i, r.j) for r in blocks.later_units(members, sizes, known, 50).collect()]
+    assert len(units) == 970 + 30 * (20 + 1)
+    where = {}
+    for i, _, a, b in units:
+        where.setdefault(i, set()).add((a, b))
+    assert all(where[x] & where[y] for x in range(970, 1000) for y in range(1000))
+    first = [(r.id, r.i, r.j) for r in blocks.first_units(members, sizes, 50, pivots=10).collect()]
+    assert {i for i, _, _ in first} == set(range(1000)) and all(a == b for _, a, b in first)
+    assert 1000 < len(first) < 1000 + 20 * 40
