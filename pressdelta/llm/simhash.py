@@ -14,8 +14,8 @@ up to tau - m + 1. The search
 5. verifies whole fingerprints inside each bucket and emits a spanning forest of the
    links there, never all pairs.
 
-Large buckets are cut into blocks; each pair of blocks is a unit of work of bounded
-size, so no bucket has to fit one task and no candidate is left out.
+Large buckets are cut into blocks, and units of work of bounded size compare them (see
+``blocks``), so no bucket has to fit one task and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import bucket_sizes, first_units, later_units
 from .common import materialize, required
 from .graph import components
 
@@ -247,15 +248,8 @@ def _close(fps: np.ndarray, group: np.ndarray, tau: int) -> tuple[np.ndarray, np
 def links(reps: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs within ``tau`` bits."""
     partitions = plan_partitions(reps, tau)
-    filed = reps.select("fp", _probes(partitions).alias("p")).select("fp", "p.part", "p.value")
-    sizes = filed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
-    units = (
-        filed.join(sizes, ["part", "value"])
-        .select("fp", "part", "value", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("fp", "part", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
+    filed = reps.select(F.col("fp").alias("id"), _probes(partitions).alias("p")).select("id", "p.part", "p.value")
+    sizes = materialize(bucket_sizes(filed), "buckets")
     key = ["part", "value", "i", "j"]
 
     def run(batches):
@@ -275,12 +269,19 @@ def links(reps: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
     def emit(table):
         cols = [table.column(k).to_numpy() for k in key]
         group = np.concatenate([[0], np.cumsum(np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))])
-        a, b = _close(table.column("fp").to_numpy().astype(np.int64), group, tau)
+        a, b = _close(table.column("id").to_numpy().astype(np.int64), group, tau)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = units.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a long, b long")
+    def search(units):
+        return units.select("id", *key).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+
+    first = materialize(search(first_units(filed, sizes, block)), "links")
+    if sizes.where(F.col("size") > block).isEmpty():
+        return first
+    roots = components(first)
+    later = search(later_units(filed, sizes, roots, block))
+    return later.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
