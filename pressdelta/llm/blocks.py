@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Members of a large bucket, expected number, that every block of it is compared with.
 PIVOTS = 64
+#: Buckets over one block that are sent to the members; beyond this number they are joined by a shuffle.
+SENT = 50_000
 
 _MARK = F.xxhash64
 
@@ -41,14 +43,24 @@ def first_units(members: DataFrame, sizes: DataFrame, block: int, pivots: int =
     return rows.withColumn("j", F.col("i")).withColumn("root", F.col("id"))
 
 
-def later_units(members: DataFrame, sizes: DataFrame, known: DataFrame, block: int) -> DataFrame:
+def large_buckets(sizes: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Buckets over one block, and their number: at most one for each ``block`` members."""
+    large = sizes.where(F.col("size") > block).select("part", "value")
+    return large, large.count()
+
+
+def later_units(members: DataFrame, sizes: DataFrame, known: DataFrame, block: int, sent: int = SENT) -> DataFrame | None:
     """Members of buckets over one block that several components share, as ``first_units``.
 
+    None if there is no bucket of that size.
+
     ``known(node, root)`` are the components so far. Blocks of the bucket's largest
     component are numbered from 0 up, those of all other members from -1 down.
     """
-    large = sizes.where(F.col("size") > block)
-    rows = members.join(large, ["part", "value"]).join(known.select(F.col("node").alias("id"), "root"), "id", "left")
+    large, number = large_buckets(sizes, block)
+    if not number:
+        return None
+    rows = members.join(F.broadcast(large) if number <= sent else large, ["part", "value"]).join(known.select(F.col("node").alias("id"), "root"), "id", "left")
     rows = rows.select(*members.columns, F.coalesce("root", "id").alias("root"))
     shares = rows.groupBy("part", "value", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = shares.groupBy("part", "value").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("size"))

@@ -383,9 +383,14 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int
     whole = sketches.select("id", "n", "words")
     sizes = materialize(bucket_sizes(filed), "buckets")
     roots = search(first_units(filed, sizes, block), None)
-    units = materialize(later_units(filed, sizes, roots, block), "mixed")
-    out = roots if units.isEmpty() else search(units, roots)
-    discard(sketches, sizes, units, *([roots] if out is not roots else []))
+    out, units = roots, later_units(filed, sizes, roots, block)
+    if units is not None:
+        units = materialize(units, "mixed")
+        if not units.isEmpty():
+            out = search(units, roots)
+            discard(roots)
+        discard(units)
+    discard(sketches, sizes)
     return out.select(F.col("node").alias("id"), "root")
 
 

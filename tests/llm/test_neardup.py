@@ -109,7 +109,9 @@ def test_members_of_one_component_are_not_compared_again(spark):
     one = spark.range(1000).selectExpr("id AS node", "0L AS root")
     assert blocks.later_units(members, sizes, one, 50).isEmpty()
     known = one.where("node < 970")
+    assert blocks.later_units(members, sizes, known, 1000) is None
     units = [(r.id, r.root, r.i, r.j) for r in blocks.later_units(members, sizes, known, 50).collect()]
+    assert sorted(units) == sorted((r.id, r.root, r.i, r.j) for r in blocks.later_units(members, sizes, known, 50, sent=0).collect())
     assert len(units) == 970 + 30 * (20 + 1)
     where = {}
     for i, _, a, b in units:
