@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_sizes, first_units, later_units
+from .blocks import bucket_sizes, first_units, large_buckets, later_units
 from .common import materialize, required
 from .graph import components
 
@@ -277,7 +277,7 @@ def links(reps: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
         return units.select("id", *key).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
     first = materialize(search(first_units(filed, sizes, block)), "links")
-    if sizes.where(F.col("size") > block).isEmpty():
+    if not large_buckets(sizes, block)[1]:
         return first
     roots = components(first)
     later = search(later_units(filed, sizes, roots, block))
