@@ -109,6 +109,8 @@ def counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             names: dict[tuple[str, str], int] = {}
             of = np.array([names.setdefault(k, len(names)) for k in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)], dtype=np.int64)
+            order = np.argsort(of, kind="stable")  # texts of one source together, so their terms fold
+            of, batch = of[order], batch.take(pa.array(order))
             keys = list(names)
             yield rows(keys, np.arange(len(keys)), pa.array([""] * len(keys)), np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64))
             for docs_, data, ends in _pieces(batch):
