@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 from collections.abc import Callable, Sequence
+from importlib.metadata import entry_points
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from .operators import analysis as AN
 from .operators import revisions as RV
 from .store import Store
 
-#: Providers of analysis and search by the names that settings give; plug-ins add theirs.
+#: Entry points of installed plug-ins: functions of the settings, by the names that settings give.
+PROVIDER_GROUP, SEARCH_GROUP = "pressdelta.providers", "pressdelta.searches"
+#: Providers of analysis and search that need no plug-in.
 PROVIDERS: dict[str, Callable[[S.Settings], AN.Provider]] = {}
 SEARCHES: dict[str, Callable[[S.Settings], AN.Search]] = {"none": lambda settings: AN.no_search}
 
@@ -40,6 +43,18 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def plugged(name: str, own: dict, group: str):
+    """What a name stands for: one of our own, else an installed plug-in's entry point."""
+    if name in own:
+        return own[name]
+    for point in entry_points(group=group, name=name):
+        try:
+            return point.load()
+        except (ImportError, AttributeError) as e:
+            raise ValueError(f"plug-in {name} cannot be loaded") from e
+    raise ValueError(f"no such provider: {name}")
+
+
 def _told(counters: dict) -> None:
     print(" ".join(f"{k}={v}" for k, v in counters.items()))
 
@@ -64,14 +79,16 @@ def _analyze(args, store: Store, settings: S.Settings) -> int:
         raise ValueError("--limit must be a positive integer")
     if settings.missing():
         raise ValueError("missing: " + ", ".join(settings.missing()))
-    if settings.llm_provider not in PROVIDERS or settings.web_search_provider not in SEARCHES:
-        raise ValueError("no such provider")
-    _told(store.analyze(PROVIDERS[settings.llm_provider](settings), SEARCHES[settings.web_search_provider](settings), int(args.limit)))
+    provider = plugged(settings.llm_provider, PROVIDERS, PROVIDER_GROUP)(settings)
+    search = plugged(settings.web_search_provider, SEARCHES, SEARCH_GROUP)(settings)
+    _told(store.analyze(provider, search, int(args.limit)))
     return 0
 
 
-def _report(store: Store) -> int:
-    for r in RV.source_health(store.log("checks")).select("source_id", "status", "candidates_seen", R.safe_error(F.col("error")).alias("error")).orderBy("source_id").toLocalIterator():
+def _report(store: Store, settings: S.Settings) -> int:
+    for name, value in settings.runtime().items():
+        print(f"{name}\t{value}")
+    for r in RV.source_health(store.checks()).select("source_id", "status", "candidates_seen", R.safe_error(F.col("error")).alias("error")).orderBy("source_id").toLocalIterator():
         print(f"source {r.source_id}\t{r.status}\t{r.candidates_seen}\t{r.error or ''}")
     _told(store.revisions().agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("url").alias("articles")).first().asDict())
     return 0
@@ -87,7 +104,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if args.command == "watch":
             _told(store.watch())
             return 0
-        return _analyze(args, store, settings) if args.command == "analyze" else _report(store)
+        return _analyze(args, store, settings) if args.command == "analyze" else _report(store, settings)
     except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

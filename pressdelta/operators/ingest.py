@@ -37,6 +37,15 @@ def published_utc(value: Column) -> Column:
     return F.when(aware, F.try_to_timestamp(value))
 
 
+def lenient_utc(value: Column) -> Column:
+    """The instant of an ISO time; one without a zone is UTC, all other text is null."""
+    text = F.regexp_replace(F.trim(value), r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    text = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2}|)$", "$1:00$2")
+    known = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?"
+    zoned, naive = text.rlike(known + r"(?:Z|[+-]\d{2}:?\d{2})$"), text.rlike(known + "$")
+    return F.when(zoned, F.try_to_timestamp(text)).when(naive, F.try_to_timestamp(F.concat(text, F.lit("Z"))))
+
+
 def poll(sources: DataFrame, latest: DataFrame, get: FE.Get, started_at: Column) -> Poll:
     """Fetch enabled ``sources(id, feed_url, enabled)`` and what is new on them.
 

@@ -39,6 +39,11 @@ def change_marker(etag: Column, lastmod: Column) -> Column:
     )
 
 
+def with_articles(revisions: DataFrame, articles: DataFrame) -> DataFrame:
+    """Revisions with what is known of their article; one without an article is none."""
+    return revisions.join(articles, "article_id")
+
+
 def to_fetch(candidates: DataFrame, latest: DataFrame) -> DataFrame:
     """Candidates without a known revision, without a marker or with a new one.
 
@@ -67,6 +72,11 @@ def link_topics(links: DataFrame, new: DataFrame) -> DataFrame:
     return links.select("topic_id", "revision_id").unionByName(new.select("topic_id", "revision_id")).dropDuplicates(["topic_id", "revision_id"])
 
 
+def numbered(rows: DataFrame, seq: int) -> DataFrame:
+    """Rows of one write with its number."""
+    return rows.withColumn("seq", F.lit(seq).cast("long"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose foreign key has no parent."""
     return child.join(parent.select(key).distinct(), key, "left_anti")
@@ -92,6 +102,12 @@ def metadata_of(articles: DataFrame, urls: DataFrame) -> DataFrame:
     return urls.select("url").distinct().join(articles.select("url", "metadata"), "url", "left")
 
 
+def metadata_map(stored: Column) -> Column:
+    """Stored metadata as map<string,string>; null where it is no JSON object of strings."""
+    found = F.from_json(stored, "map<string,string>", {"mode": "PERMISSIVE"})
+    return F.when(stored.rlike(r"^\s*\{"), found)
+
+
 def source_counts(sources: DataFrame) -> DataFrame:
     """(sources, enabled): how many there are, one row."""
     return sources.agg(F.count(F.lit(1)).alias("sources"), F.count_if("enabled").alias("enabled"))

@@ -17,6 +17,7 @@ from ..operators import findings as FI
 from ..operators import ingest as IN
 from ..operators import revisions as RV
 from ..operators import topics as TP
+from ..operators.settled import settle
 from ..sources import markup as M
 from ..sources.fetch import Response
 from ..sources.views import CHECKS, CLAIMS, DOC_REVISIONS, EVIDENCE, FETCH_LOG, HITS, WIRE, table, view
@@ -238,11 +239,13 @@ def recent_context(spark, sf_dir):
     return RV.recent(view(spark, sf_dir, "doc_revisions").select("revision_id", "url", "fetched_epoch"))
 
 
-@query(_ctes(d=DOC_REVISIONS) + "SELECT revision_id, url, title FROM d")
+@query("SELECT o_orderkey AS revision_id, concat('https://m.test/', CAST(c_custkey AS VARCHAR)) AS url, o_orderstatus AS title, c_name AS article FROM orders JOIN customer ON o_custkey = c_custkey")
 def revision_read(spark, sf_dir):
-    d = view(spark, sf_dir, "doc_revisions")
-    articles = d.select("article_id", "url")
-    return d.select("revision_id", "article_id", "title").join(articles, "article_id").select("revision_id", "url", "title")
+    """Revisions with the address of their article, of which there are fewer."""
+    url = F.concat(F.lit("https://m.test/"), F.col("c_custkey").cast("string"))
+    articles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("article_id"), url.alias("url"), F.col("c_name").alias("article"))
+    revisions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("revision_id"), F.col("o_custkey").alias("article_id"), F.col("o_orderstatus").alias("title"))
+    return RV.with_articles(revisions, articles).select("revision_id", "url", "title", "article")
 
 
 @query(_ctes(d=DOC_REVISIONS) + "SELECT l.toxic AS topic_id, d.revision_id, d.url FROM (SELECT DISTINCT toxic, doc_id FROM labels) l JOIN d ON d.revision_id = l.doc_id")
@@ -492,28 +495,50 @@ def finding_visibility(spark, sf_dir):
 
 
 @query(_ctes(wire=WIRE)[:-1] + "," + _NUMBERS + """
-, cut AS (SELECT w.revision_id, length(w.text) AS n, num.start AS a, num."end" AS b FROM wire w JOIN num USING (revision_id))
-SELECT revision_id, 0 AS start, CAST(a AS INT) AS "end", 'b/pending/open' AS covered FROM cut
-UNION ALL SELECT revision_id, a, b, 'a/retrieved/number|b/pending/open' FROM cut UNION ALL SELECT revision_id, b, CAST(n AS INT), '' FROM cut""")
+, cut AS (SELECT w.revision_id, CAST(length(w.text) + 1 AS INT) AS n, num.start AS a, num."end" AS b FROM wire w JOIN num USING (revision_id)),
+part AS (SELECT revision_id, unnest([0, a, b, n + a, n + b]) AS start, unnest([a, b, n + a, n + b, 2 * n - 1]) AS "end",
+  unnest(['b/pending/open', 'a/retrieved/number|b/pending/open|c/pending/late', 'b/pending/open|c/pending/late', 'a/retrieved/number|b/pending/open|c/pending/late', 'c/pending/late']) AS covered FROM cut)
+SELECT revision_id, start, "end", covered FROM part""")
 def annotation_segments(spark, sf_dir):
-    w = view(spark, sf_dir, "wire")
-    first = T.numeric_claims(F.col("text"))[0]
+    """Every number of a text said twice, and spans that reach over its ends."""
+    w = view(spark, sf_dir, "wire").withColumn("text", F.concat_ws(" ", "text", "text")).withColumn("n", T.numeric_claims(F.col("text")))
     span = lambda a, b, kind, status, summary: F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("type"), F.lit(status).alias("status"), F.lit(summary).alias("summary"))
-    rows = w.withColumn("n", first).select("revision_id", "text", F.array(span(F.lit(-5), F.col("n.end"), "b", "pending", "open"), span(F.col("n.start"), F.col("n.end"), "a", "retrieved", "number"), span(F.lit(9), F.lit(9), "c", "pending", "empty")).alias("findings"))
-    return FI.annotation_segments(rows)
-
-
-@query(_BOTH + " SELECT w.revision_id, w.title, w.host_key AS source, count(d.left_id) AS findings FROM wire w LEFT JOIN diff d ON d.left_id = w.revision_id GROUP BY ALL")
+    numbers = F.transform("n", lambda n: span(n["start"], n["end"], "a", "retrieved", "number"))
+    others = F.array(span(F.lit(-5), F.element_at("n", -1)["end"], "b", "pending", "open"), span(F.col("n")[0]["start"], F.lit(99_999), "c", "pending", "late"), span(F.lit(9), F.lit(9), "d", "pending", "empty"))
+    return FI.annotation_segments(w.select("revision_id", "text", F.concat(numbers, others).alias("findings")))
+
+
+@query(_BOTH + """,
+spans AS (SELECT DISTINCT left_id AS revision_id, start, "end", concat('material_cross_media_difference/retrieved/', summary) AS name FROM diff),
+points AS (SELECT revision_id, start AS a FROM spans UNION SELECT revision_id, "end" FROM spans),
+parts AS (SELECT revision_id, a, lead(a) OVER (PARTITION BY revision_id ORDER BY a) AS b FROM points),
+marked AS (SELECT p.revision_id, p.a, concat(CAST(p.a AS VARCHAR), '-', CAST(p.b AS VARCHAR), ':', string_agg(s.name, '&' ORDER BY s.name)) AS part
+  FROM parts p JOIN spans s ON s.revision_id = p.revision_id AND s.start <= p.a AND s."end" >= p.b GROUP BY p.revision_id, p.a, p.b),
+shown AS (SELECT revision_id, count(*) AS n, string_agg(part, '|' ORDER BY a) AS parts FROM marked GROUP BY revision_id),
+links AS (SELECT revision_id, string_agg(link, '|' ORDER BY link) AS links FROM (SELECT DISTINCT d.left_id AS revision_id, concat(w.url, ' ', w.title) AS link FROM diff d JOIN wire w ON w.revision_id = d.right_id) t GROUP BY revision_id)
+SELECT w.revision_id, w.title, w.host_key AS source, count(d.left_id) AS findings, coalesce(any_value(s.n), 0) AS n_annotations,
+  sha256(coalesce(any_value(s.parts), '')) AS annotations_sha, sha256(coalesce(any_value(l.links), '')) AS evidence_sha
+FROM wire w LEFT JOIN diff d ON d.left_id = w.revision_id LEFT JOIN shown s ON s.revision_id = w.revision_id LEFT JOIN links l ON l.revision_id = w.revision_id
+GROUP BY w.revision_id, w.title, w.host_key""")
 def inbox(spark, sf_dir):
+    """Revisions with their findings; nested annotations and evidence are told by digests of their text."""
     w = view(spark, sf_dir, "wire")
-    found = _both_sides(w).groupBy(F.col("left_id").alias("revision_id")).agg(F.count(F.lit(1)).alias("n"))
-    return w.join(found, "revision_id", "left").select("revision_id", "title", F.col("host_key").alias("source"), F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
+    found = settle(_both_sides(w), "sides")
+    findings = found.select(F.col("left_id").alias("revision_id"), "start", "end", F.lit("material_cross_media_difference").alias("finding_type"), F.lit("retrieved").alias("evidence_status"), "summary")
+    evidence = FI.topic_evidence(found.select("left_id", "right_id"), w).withColumnRenamed("left_id", "revision_id")
+    rows = FI.inbox(w, findings, evidence)
+    names = lambda part: F.array_join(F.transform(part["covered"], lambda f: F.concat_ws("/", f["type"], f["status"], f["summary"])), "&")
+    parts = F.array_join(F.transform("annotations", lambda p: F.concat(p["start"].cast("string"), F.lit("-"), p["end"].cast("string"), F.lit(":"), names(p))), "|")
+    links = F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["url"], e["title"])), "|")
+    return rows.select("revision_id", "title", F.col("host_key").alias("source"), "findings", F.size("annotations").cast("long").alias("n_annotations"), F.sha2(parts, 256).alias("annotations_sha"), F.sha2(links, 256).alias("evidence_sha"))
 
 
-@query(_BOTH + " SELECT 'Material cross-media difference' AS finding, 'Evidence retrieved' AS evidence, summary FROM diff")
+@query(_BOTH + " SELECT 'Material cross-media difference' AS finding, 'Evidence retrieved' AS evidence, summary, w.url AS href, w.title AS link_title, 'related_revision' AS details FROM diff d JOIN wire w ON w.revision_id = d.right_id")
 def findings_view(spark, sf_dir):
     shown = pending_analysis_flagship(spark, sf_dir).where("visible")
-    return shown.select(R.label(F.lit("material_cross_media_difference"), V.FINDING_LABELS).alias("finding"), R.label(F.col("evidence_status"), V.STATUS_LABELS).alias("evidence"), "summary")
+    link = AN.evidence_link(F.col("url"), F.col("title"), F.lit("related_revision"), F.lit(None).cast("string"))
+    rows = shown.select(R.label(F.lit("material_cross_media_difference"), V.FINDING_LABELS).alias("finding"), R.label(F.col("evidence_status"), V.STATUS_LABELS).alias("evidence"), "summary", link.alias("l"))
+    return rows.select("finding", "evidence", "summary", "l.href", F.col("l.title").alias("link_title"), "l.details")
 
 
 # -- markup ---------------------------------------------------------------------------
@@ -552,25 +577,45 @@ def html_list_links(spark, sf_dir):
     return M.candidates(pages)  # the pages' only anchors stand in navigation, which list pages ignore
 
 
-def _feed(spark, sf_dir, head, item, tail):
+def _feed(spark, sf_dir, head, items, tail):
+    """Feeds of several entries; one in ten ends before its end."""
     rows = table(spark, sf_dir, "pages").select("page_id", "url")
-    body = F.concat(F.lit(head), F.format_string(item, F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.col("page_id")), F.lit(tail))
+    end = F.when(F.col("page_id") % 10 == 3, "").otherwise(tail)
+    body = F.concat(F.lit(head), F.format_string(items, F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.col("page_id")), end)
     return M.candidates(rows.select(F.format_string("https://f.test/%d.xml", "page_id").alias("url"), F.lit("application/xml").alias("content_type"), body.alias("body")))
 
 
-@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, concat('Item ', CAST(page_id AS VARCHAR)) AS title, '2024-01-01' AS published_at, CAST(NULL AS VARCHAR) AS lastmod FROM pages")
+def _feed_sql(*entries: tuple[str, str, str, str]) -> str:
+    """Rows of entries (url, title, published_at, lastmod) of every page's feed."""
+    one = "SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST({} AS INT) AS pos, {} AS url, {} AS title, {} AS published_at, {} AS lastmod FROM pages WHERE page_id % 10 <> 3"
+    return " UNION ALL ".join(one.format(k, *e) for k, e in enumerate(entries))
+
+
+_NONE, _PAGE = "CAST(NULL AS VARCHAR)", "CAST(page_id AS VARCHAR)"
+
+
+@query(_feed_sql(("url", f"concat('Item ', {_PAGE})", "'2024-01-01'", _NONE), ("concat(url, '#b')", "'A & B'", "'D'", _NONE), ("'https://c.test/'", "''", _NONE, _NONE)))
 def feed_rss(spark, sf_dir):
-    return _feed(spark, sf_dir, "<rss><channel>", "<item><title>x</title><link>%s</link><title>Item %d</title><pubDate>2024-01-01</pubDate></item><item><link>mailto:a</link></item>", "</channel></rss>")
+    items = (
+        "<item><title>x</title><link>%1$s</link><title>Item %2$d</title><pubDate>2024-01-01</pubDate></item><item><link>mailto:a</link></item><item><title>no link</title></item>"
+        "<other><item><link>https://no.test/</link></item></other><item><link>%1$s#b</link><title> A &amp;\n B </title><x:date xmlns:x='u'>D</x:date></item><item><link>https://c.test/</link></item>"
+    )
+    return _feed(spark, sf_dir, "<rss><channel>", items, "</channel></rss>")
 
 
-@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, concat('Entry ', CAST(page_id AS VARCHAR)) AS title, '2024-01-02' AS published_at, CAST(NULL AS VARCHAR) AS lastmod FROM pages")
+@query(_feed_sql(("url", f"concat('Entry ', {_PAGE})", "'2024-01-02'", _NONE), ("concat(url, '#b')", "'B'", "'P'", _NONE)))
 def feed_atom(spark, sf_dir):
-    return _feed(spark, sf_dir, '<feed xmlns="http://www.w3.org/2005/Atom">', '<entry><link rel="self" href="https://no.test/"/><link href="%s"/><title>Entry %d</title><updated>2024-01-02</updated></entry>', "</feed>")
+    entries = (
+        '<entry><link rel="self" href="https://no.test/"/><link href="%1$s"/><title>Entry %2$d</title><updated>2024-01-02</updated></entry><entry><link href="/relative"/></entry><entry><title>no link</title></entry>'
+        '<entry><link rel="alternate" href="%1$s#b"/><link href="https://second.test/"/><title>B</title><published>P</published><updated>U</updated></entry>'
+    )
+    return _feed(spark, sf_dir, '<feed xmlns="http://www.w3.org/2005/Atom">', entries, "</feed>")
 
 
-@query("SELECT concat('https://f.test/', CAST(page_id AS VARCHAR), '.xml') AS source_url, CAST(0 AS INT) AS pos, url, '' AS title, concat('2024-', CAST(page_id AS VARCHAR)) AS published_at, concat('2024-', CAST(page_id AS VARCHAR)) AS lastmod FROM pages")
+@query(_feed_sql(("url", "''", f"concat('2024-', {_PAGE})", f"concat('2024-', {_PAGE})"), ("concat(url, '#b')", "''", _NONE, _NONE)))
 def feed_sitemap(spark, sf_dir):
-    return _feed(spark, sf_dir, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "<url><loc>%s</loc><lastmod>2024-%d</lastmod></url>", "</urlset>")
+    entries = "<url><loc>%1$s</loc><lastmod>2024-%2$d</lastmod></url><url><loc>ftp://a.test/</loc></url><url><lastmod>1</lastmod></url><sitemap><loc>https://no.test/</loc></sitemap><url><loc> %1$s#b </loc></url>"
+    return _feed(spark, sf_dir, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', entries, "</urlset>")
 
 
 # -- polling -----------------------------------------------------------------------
@@ -645,3 +690,23 @@ def article_metadata(spark, sf_dir):
 @query("SELECT count(*) AS sources, count(*) FILTER (WHERE s_suppkey % 5 <> 0) AS enabled FROM supplier")
 def source_count(spark, sf_dir):
     return RV.source_counts(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5 != 0).alias("enabled")))
+
+
+@query("""
+SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 28800 WHEN 2 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) ELSE CAST(epoch(date_trunc('day', ts)) AS BIGINT) END AS VARCHAR) AS epoch
+FROM events
+""")
+def lenient_times(spark, sf_dir):
+    """Times with a zone, without one, days alone, and what is no ISO time."""
+    n = F.col("event_id") % 4
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(n == 0, F.date_format("ts", "dd.MM.yyyy HH:mm")).when(n == 1, F.concat(stamp, F.lit("+08:00"))).when(n == 2, stamp).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(IN.lenient_utc(text)).cast("string").alias("epoch"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) END AS reader, event_id % 5 <> 0 AS known FROM events")
+def metadata_map(spark, sf_dir):
+    """Stored metadata as a map; one row in five holds something else."""
+    stored = F.to_json(F.create_map(F.lit("kind"), "event_type", F.lit("reader"), F.col("user_id").cast("string")))
+    found = RV.metadata_map(F.when(F.col("event_id") % 5 == 0, F.lit("[1]")).otherwise(stored))
+    return table(spark, sf_dir, "events").select("event_id", found.alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["reader"].alias("reader"), F.col("m").isNotNull().alias("known"))

@@ -56,21 +56,25 @@ def _each(urls: DataFrame, column: str, one: Callable[[str], tuple], schema: str
     return asked.mapInPandas(run, schema)
 
 
-def responses(urls: DataFrame, get: Get, column: str = "url") -> DataFrame:
-    """(requested, url, content_type, body, error); error is null for a usable 2xx response."""
+RESPONSE = "requested string, url string, content_type string, body binary, error string"
 
-    def one(asked: str) -> tuple:
-        try:
-            r = get(asked)
-        except Exception as e:
-            return asked, asked, None, None, str(e) or type(e).__name__
-        if not 200 <= r.status < 300:
-            return asked, r.url, r.content_type, None, f"source returned HTTP {r.status}"
-        if len(r.body) > V.MAX_BYTES:
-            return asked, r.url, r.content_type, None, "source is too large"
-        return asked, r.url, r.content_type, r.body, None
 
-    return _each(urls, column, one, "requested string, url string, content_type string, body binary, error string")
+def response(asked: str, get: Get) -> tuple:
+    """One row of ``RESPONSE``; whatever goes wrong is its error."""
+    try:
+        r = get(asked)
+    except Exception as e:
+        return asked, asked, None, None, str(e) or type(e).__name__
+    if not 200 <= r.status < 300:
+        return asked, r.url, r.content_type, None, f"source returned HTTP {r.status}"
+    if len(r.body) > V.MAX_BYTES:
+        return asked, r.url, r.content_type, None, "source is too large"
+    return asked, r.url, r.content_type, r.body, None
+
+
+def responses(urls: DataFrame, get: Get, column: str = "url") -> DataFrame:
+    """(requested, url, content_type, body, error); error is null for a usable 2xx response."""
+    return _each(urls, column, lambda asked: response(asked, get), RESPONSE)
 
 
 def pages(urls: DataFrame, get: Get, fallback: Fallback | None = None, column: str = "url", limit: int | None = V.MAX_PAGE_TEXT) -> DataFrame:

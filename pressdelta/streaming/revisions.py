@@ -35,19 +35,6 @@ def revision_stream(fetches: DataFrame) -> DataFrame:
     return fetches.select("url", "seq", "fetched_at", "content_hash").groupBy("url").applyInPandasWithState(step, OUTPUT, "seq long, content_hash string", "append", GroupStateTimeout.NoTimeout)
 
 
-def window_pairs_stream(left: DataFrame, right: DataFrame, hours: int = 72) -> DataFrame:
-    """Rows of two streams of revisions at most ``hours`` apart, with watermarks of that length.
-
-    ``(revision_id, host, fetched_at)`` each. Rows later than the watermark are dropped; batch
-    runs have no such limit.
-    """
-    span = F.expr(f"INTERVAL {hours} HOURS")
-    l = left.withWatermark("fetched_at", f"{hours} hours").alias("l")  # noqa: E741
-    r = right.withWatermark("fetched_at", f"{hours} hours").alias("r")
-    near = (F.col("r.fetched_at") >= F.col("l.fetched_at") - span) & (F.col("r.fetched_at") <= F.col("l.fetched_at") + span)
-    return l.join(r, near & (F.col("l.host") != F.col("r.host"))).select(F.col("l.revision_id").alias("left_id"), F.col("r.revision_id").alias("right_id"))
-
-
 def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Process what is there in micro-batches and stop: one scheduled poll."""
     query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").foreachBatch(handle).start()

@@ -138,3 +138,14 @@ def test_stream_equals_batch(spark, tmp_path):
     S.run_available(S.revision_stream(stream), str(tmp_path / "cp"), S.append_once(str(tmp_path / "out")))
     got = {r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.seq for r in RV.changes(rows, "url", "content_hash", ["fetched_at", "seq"]).collect()}
+
+
+def test_annotations_nest_all_findings_of_a_revision(spark):
+    texts = spark.createDataFrame([(1, "hello world"), (2, "none"), (3, "")], "revision_id long, text string")
+    rows = [(1, -3, 5, "b", "p", "x"), (1, 3, 99, "a", "r", "y"), (1, 3, 5, "a", "p", "z"), (1, 3, 5, "a", "p", "z"), (1, 7, 7, "c", "p", "w"), (3, 0, 4, "a", "p", "q"), (9, 0, 1, "a", "p", "lost")]
+    found = spark.createDataFrame(rows, "revision_id long, start int, end int, finding_type string, evidence_status string, summary string")
+    out = {r.revision_id: [(a.start, a.end, [tuple(c) for c in a.covered]) for a in r.annotations] for r in FI.annotations(found, texts).collect()}
+    assert out == {1: [(0, 3, [("b", "p", "x")]), (3, 5, [("a", "p", "z"), ("a", "r", "y"), ("b", "p", "x")]), (5, 11, [("a", "r", "y")])]}
+    links = spark.createDataFrame([(1, "u", "T"), (1, "u", "T"), (1, "t", "S")], "revision_id long, url string, title string")
+    shown = {r.revision_id: (r.findings, len(r.annotations), [e.url for e in r.evidence]) for r in FI.inbox(texts, found, links).collect()}
+    assert shown == {1: (5, 3, ["t", "u"]), 2: (0, 0, []), 3: (1, 0, [])}
