@@ -15,13 +15,13 @@ with the number of pages and occurrences. It is built by partial aggregation, so
 with a third of all pages is folded before the shuffle. Order and gaps of a class are one
 hash a page, and valid where the least and the largest of them are equal.
 
-The text of a page is the contents of the slots that lie in its main part: inside
-``article`` or ``main`` where there is one, else inside the smallest element that holds
-most of what the slots hold; and never under navigation, headers of the
-page, footers, asides, forms, scripts, notices, adverts or comments. Text nodes that
-belong to the template are dropped there as well, unless that leaves nothing, or less
-than half of a part marked as main: then the page is one of many copies or near copies,
-and what they repeat is the article, not a layout.
+The text of a page is its main part. Where ``article`` or ``main`` marks it, all of that is
+kept but elements that are no text of it, so text that pages share stays: an introduction
+that every article has is part of each. Elsewhere the template finds it: the smallest
+container that holds more than half of what the slots hold, links left out; of that the
+slots are kept and the template's own text nodes go, unless no text lies in a slot. Words
+in class and id names decide nothing by themselves: a container that they make look like
+a side element goes only where links or template texts are at least half of it.
 """
 
 from __future__ import annotations
@@ -41,10 +41,8 @@ from .common import materialize, required
 MIN_PAGES, MIN_TOKENS, SHARE = 2, 3, 0.9
 #: Tokens times pages of a class: what few pages lack as evidence, more tokens must give.
 EVIDENCE = 24
-#: Least share of a marked main part that lies in slots, where template texts are dropped.
-SLOTS = 0.5
-#: Share of the slots' text that an element must hold to be the main part of a page without one.
-MAIN = 0.8
+#: Share of the slots' text that a container must exceed to be the main part of a page that marks none.
+MAIN = 0.5
 #: Template tokens and hosts up to which the templates go to every executor.
 BROADCAST_TOKENS = 1_000_000
 #: Tokens counted in a task before they are handed on.
@@ -59,6 +57,9 @@ ENDS_P = BLOCKS - {"body", "html", "option", "caption", "tbody", "td", "tfoot",
 ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 OUTSIDE_NAMES = frozenset("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies social share sharing related recommended popup modal overlay widget pagination pager toolbar masthead topbar skip".split())
+#: Whole class names and ids of containers that hold adverts or what readers wrote.
+NEVER = frozenset("ad ads advert adverts advertisement adsbygoogle sponsored comments comment-list commentlist reader-comments disqus_thread".split())
+CONTAINERS = frozenset("article aside body center dd details dialog div dl fieldset figure form html main ol section table tbody td tr ul".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -72,14 +73,22 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-def _outside(name: str, attrs: dict[str, str], in_main: bool) -> bool:
-    """Whether an element is not part of a page's main text."""
-    if name in OUTSIDE or attrs.get("role", "").lower() in OUTSIDE_ROLES or (name == "header" and not in_main):
-        return True
-    if name in ("html", "body", "main", "article") or attrs.get("role", "").lower() in ("main", "article"):
-        return False
-    words = re.split(r"[\s_-]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return not OUTSIDE_NAMES.isdisjoint(words) or (not in_main and "header" in words)
+#: How sure it is that an element is no main text: by its name or role, or only by words in its names.
+INSIDE, SOFT, HARD = 0, 1, 2
+
+
+def _outside(name: str, attrs: dict[str, str], in_main: bool) -> int:
+    """Whether an element is part of a page's main text; inside a marked part words decide nothing."""
+    role = attrs.get("role", "").lower()
+    if name in OUTSIDE or role in OUTSIDE_ROLES or (name == "header" and not in_main):
+        return HARD
+    if name in ("html", "body", "main", "article") or role in ("main", "article") or name not in CONTAINERS | {"header"}:
+        return INSIDE
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
+    if not NEVER.isdisjoint(names.split()):
+        return HARD
+    words = set(re.split(r"[\s_-]+", names))
+    return SOFT if not in_main and ("header" in words or not OUTSIDE_NAMES.isdisjoint(words)) else INSIDE
 
 
 def walk(page: str):
@@ -88,7 +97,7 @@ def walk(page: str):
     kind is "tag", "end" of an element or "text"; ``value`` is the tag name or the raw
     text. Missing end tags are implied as HTML does for paragraphs, items and cells.
     """
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, outside, main
+    stack: list[tuple[str, str, int, bool]] = [("", "", INSIDE, False)]  # name, path, outside, main
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
@@ -134,7 +143,7 @@ def walk(page: str):
                     break
         _, path, out, main = stack[-1]
         marks = f"{name}.{attrs['class']}" if attrs.get("class") else name
-        out = out or _outside(name, attrs, main)
+        out = max(out, _outside(name, attrs, main))
         main = main or name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
         entry = (name, f"{path}>{marks}", out, main)
         yield "tag", entry[1], name, out, main
@@ -162,39 +171,62 @@ def page_tokens(page: str) -> tuple[Counter, set[int]]:
     return found, tags
 
 
-def _main_part(nodes: list, template: frozenset[int]) -> tuple[int, int]:
-    """Nodes from and to of the smallest element that holds ``MAIN`` of the slots' text."""
-    before, spans, open_ = [0], [], []
-    for k, (kind, path, value, out, _) in enumerate(nodes):
-        slot = kind == "text" and not out and _key(path, value) not in template
-        before.append(before[-1] + (len(value.strip()) if slot else 0))
+def _elements(nodes: list) -> list[tuple[int, int]]:
+    """Nodes from and to of every element, inner ones first."""
+    spans, open_ = [], []
+    for k, (kind, _, value, _, _) in enumerate(nodes):
         if kind == "tag" and value not in VOID:
             open_.append(k)
         elif kind == "end" and open_:
             spans.append((open_.pop(), k + 1))
-    spans += [(k, len(nodes)) for k in open_]
-    fitting = [(b - a, a, b) for a, b in spans if before[b] - before[a] >= MAIN * before[-1]]
-    return min(fitting)[1:] if before[-1] and fitting else (0, len(nodes))
+    return spans + [(k, len(nodes)) for k in reversed(open_)]
 
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main part joined by an empty line; template text nodes are left out.
+def _weights(nodes: list, counts) -> list[int]:
+    """Characters of the text nodes that count, summed from the start up to each node."""
+    before = [0]
+    for k, node in enumerate(nodes):
+        before.append(before[-1] + (len(node[2].strip()) if node[0] == "text" and counts(k, node) else 0))
+    return before
+
+
+def _linked(nodes: list) -> list[bool]:
+    """Whether each node lies in a link."""
+    return [">a>" in f"{path}>" or ">a." in path for _, path, _, _, _ in nodes]
 
-    A page without a marked main part has it where its slots hold most text.
 
-    They stay where no text lies in a slot, or less than ``SLOTS`` of a marked main part.
+def _main_part(nodes: list, template: frozenset[int]) -> list:
+    """Nodes of the smallest container with more than ``MAIN`` of the slots' text, without side elements."""
+    linked = _linked(nodes)
+    slot = lambda node: _key(node[1], node[2]) not in template
+    prose = _weights(nodes, lambda k, node: node[3] < HARD and not linked[k] and slot(node))
+    text = _weights(nodes, lambda k, node: node[3] < HARD)
+    held = prose if prose[-1] else text
+    spans = _elements(nodes)
+    fitting = [(b - a, a, b) for a, b in spans if nodes[a][2] in CONTAINERS and held[b] - held[a] > MAIN * held[-1]]
+    first, last = min(fitting)[1:] if held[-1] and fitting else (0, len(nodes))
+    gone = [False] * len(nodes)
+    for a, b in spans:
+        side = nodes[a][3] == SOFT and first < a and b <= last
+        if side and 2 * (prose[b] - prose[a]) <= text[b] - text[a]:
+            gone[a:b] = [True] * (b - a)
+    return [node for k, node in enumerate(nodes[first:last], first) if not gone[k]]
+
+
+def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
+    """Blocks of the main part joined by an empty line.
+
+    A marked main part is kept whole. Of a page that marks none the slots of the part are
+    kept where the template finds one; without a template, or without text in slots, all
+    that is not outside.
     """
     nodes = list(walk(page))
-    inside = any(main and not out for _, _, _, out, main in nodes)
+    inside = any(main and out < HARD for _, _, _, out, main in nodes)
     blocks, parts = [], []
-    if template:
-        sizes = [(len(value.strip()), _key(path, value) in template) for kind, path, value, out, main in nodes if kind == "text" and not out and (main or not inside)]
-        filled = sum(n for n, fixed in sizes if not fixed)
-        if not filled or inside and filled < SLOTS * sum(n for n, _ in sizes):
-            template = frozenset()
-    if template and not inside:
-        first, last = _main_part(nodes, template)
-        nodes = nodes[first:last]
+    if inside or not any(kind == "text" and out < HARD and value.strip() and _key(path, value) not in template for kind, path, value, out, _ in nodes):
+        template = frozenset()
+    if not inside:
+        nodes = _main_part(nodes, template)
 
     def close():
         block = " ".join(html.unescape("".join(parts)).split())
@@ -208,7 +240,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                 close()
             elif value == "br":
                 parts.append(" ")
-        elif not out and (main or not inside) and not (template and _key(path, value) in template):
+        elif out < HARD and (main or not inside) and not (template and _key(path, value) in template):
             parts.append(value)
     close()
     return "\n\n".join(blocks)
