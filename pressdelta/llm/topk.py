@@ -138,9 +138,18 @@ class Splits:
                 open_[name] = (own, (node, side))
                 heapq.heappush(heap, (-len(own), name))
             count += 1
-        for _, place in open_.values():
-            self._set(place, -1 - self.parts)
-            self.parts += 1
+        # Parts are numbered from left to right, so those with near numbers lie near each other.
+        leaves = {place for _, place in open_.values()}
+        self.parts = len(leaves)
+        stack, number = [(0, 3), (0, 2)] if self.nodes else [], 0
+        while stack:
+            place = stack.pop()
+            if place in leaves:
+                self._set(place, -1 - number)
+                number += 1
+            else:
+                child = self.nodes[place[0]][place[1]]
+                stack += [(child, 3), (child, 2)]
 
     def _set(self, place: tuple[int, int] | None, value: int) -> None:
         if place:
@@ -159,6 +168,10 @@ class Splits:
         return -1 - at
 
 
+#: Parts that blocks of queries are dealt over where they meet hulls of shards.
+DEALS = 16
+
+
 def _matrix(v: pd.Series) -> np.ndarray:
     return np.array(v.tolist(), dtype=np.int64)
 
@@ -273,8 +286,16 @@ def exact_top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: in
     boxes = sides.groupBy("dim", "block").agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("box"), F.min("floor").alias("floor"))
     boxes = boxes.select("dim", "block", F.col("box.low").alias("qlow"), F.col("box.high").alias("qhigh"), "floor")
     bound = _corners(F.col("low"), F.col("high"), F.col("qlow"), F.col("qhigh"))
-    reach = boxes.join(trees.select("dim", "shard", "low", "high"), "dim").withColumn("bound", bound).where("bound >= floor").select("dim", "block", "shard", "bound")
     shards_of = {r.dim: r.n for r in trees.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Blocks meet hulls of neighbouring shards first, and only the shards of hulls in reach.
+    wide = F.create_map(*[F.lit(x) for d, n in shards_of.items() for x in (d, math.ceil(math.sqrt(n)))])[F.col("dim")]
+    ranged = trees.select("dim", "shard", "low", "high", F.floor(F.floor(F.col("shard") / (1 << 24)) / wide).alias("hull"))
+    ends = ranged.select("dim", "hull", F.posexplode(F.arrays_zip("low", "high")).alias("at", "x")).groupBy("dim", "hull", "at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    hulls = ends.groupBy("dim", "hull").agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("box")).select("dim", "hull", F.col("box.low").alias("hlow"), F.col("box.high").alias("hhigh"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))
+    dealt_ = boxes.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(DEALS)).cast("int")).join(hulls.withColumn("deal", copies), ["dim", "deal"])
+    near = dealt_.where(_corners(F.col("hlow"), F.col("hhigh"), F.col("qlow"), F.col("qhigh")) >= F.col("floor")).select("dim", "hull", "block", "qlow", "qhigh", "floor")
+    reach = near.join(ranged, ["dim", "hull"]).withColumn("bound", bound).where("bound >= floor").select("dim", "block", "shard", "bound")
     groups = F.create_map(*[F.lit(x) for d, n in shards_of.items() for x in (d, math.ceil(n / row))])[F.col("dim")]
     reach = materialize(reach.withColumn("grp", F.pmod(F.xxhash64("shard"), groups).cast("int")), "reach")
     asking = left.join(reach.select("dim", "block", "grp").distinct(), ["dim", "block"])
