@@ -13,6 +13,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from .common import required
 
 #: Feature space, training documents a language, passes over them, and the loss weight.
 DIM, PER_LANG, EPOCHS, C = 4096, 600, 12, 1.0
+#: Rows and bytes of texts that are featurised together; one longer text is alone.
+ROWS, BYTES = 256, 1 << 21
 #: Characters of a text looked at together.
 WINDOW = 1 << 16
 #: Margin to probability.
@@ -191,8 +194,12 @@ def annotate(docs: DataFrame, model: Model | None, dim: int = DIM) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0).field(place)), 0).to_numpy(zero_copy_only=False))
+            to = 0
+            for at in iter(lambda: to, batch.num_rows):
+                before = ends[at - 1] if at else 0
+                to = min(max(int(np.searchsorted(ends, before + BYTES, side="right")), at + 1), at + ROWS, batch.num_rows)
+                part = batch.slice(at, to - at)
                 known = part.column(1).to_pylist()
                 texts = part.column(0).field(place)
                 langs, score = model.predict(np.stack([featurize(t.as_py() if k else "", dim) for t, k in zip(texts, known, strict=True)]))

@@ -24,7 +24,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
-    return best_fit_packing(_table(spark, sf_dir, "documents"))
+    return best_fit_packing(_table(spark, sf_dir, "documents"), content=True)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
