@@ -36,8 +36,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of the permitted sequence lengths."""
-    return best_fit_packing(docs)
+    """Pieces of documents with their tokens, in bins of the permitted sequence lengths."""
+    return best_fit_packing(docs, content=True)
 
 
 STAGES = [
