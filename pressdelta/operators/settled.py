@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in ``spark.checkpoint.dir``, deleted at the end of the process.
+
+    Only plain local mode without such a folder has it in a temporary one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pressdelta-")
+    path = f"{root.rstrip('/')}/pressdelta-settled/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """``df`` computed once and written to the shared folder in ``spark.checkpoint.dir``.
 
@@ -17,14 +33,10 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     folder keeps the rows in its cache instead.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local["):
-            return df.persist()
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{root.rstrip('/')}/pressdelta-settled/{name}-{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        return df.persist()
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

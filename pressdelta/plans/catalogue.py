@@ -20,7 +20,10 @@ from ..operators import topics as TP
 from ..operators.settled import settle
 from ..sources import markup as M
 from ..sources.fetch import Response
-from ..sources.views import CHECKS, CLAIMS, DOC_REVISIONS, EVIDENCE, FETCH_LOG, HITS, WIRE, table, view
+from ..sources.views import CHECKS, CLAIMS, DOC_REVISIONS, EVIDENCE, FETCH_LOG, HITS, WIRE, table, view, view_of
+from ..streaming import articles as SA
+from ..streaming import pairs as SP
+from ..streaming import revisions as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -710,3 +713,37 @@ def metadata_map(spark, sf_dir):
     stored = F.to_json(F.create_map(F.lit("kind"), "event_type", F.lit("reader"), F.col("user_id").cast("string")))
     found = RV.metadata_map(F.when(F.col("event_id") % 5 == 0, F.lit("[1]")).otherwise(stored))
     return table(spark, sf_dir, "events").select("event_id", found.alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["reader"].alias("reader"), F.col("m").isNotNull().alias("known"))
+
+
+# -- streams ------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir, name):
+    """A table, one file or a folder of them, as a stream of its files; a pattern may name either."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+@query("""
+WITH e AS (SELECT concat('u', CAST(user_id AS VARCHAR)) AS url, event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN concat('m', CAST(event_id // 16 % 2 AS VARCHAR)) END AS marker,
+  CASE WHEN event_id % 3 <> 0 THEN event_type END AS content FROM events),
+b AS (SELECT *, last_value(content IGNORE NULLS) OVER w AS known, last_value(CASE WHEN content IS NOT NULL THEN marker END IGNORE NULLS) OVER w AS stored
+  FROM e WINDOW w AS (PARTITION BY url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT url, seq, CASE WHEN content IS NULL AND known IS NOT NULL AND marker = stored THEN 'skip' WHEN content IS NULL THEN 'fetch' WHEN content = known THEN 'unchanged' ELSE 'revision' END AS decision
+FROM b
+""")
+def article_states(spark, sf_dir):
+    """Sightings and readings of articles as a stream with a hash and a marker an address."""
+    n = F.col("event_id")
+    events = _stream(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), n.alias("seq"), F.col("ts").cast("timestamp").alias("fetched_at"),
+        F.when(n % 7 != 0, F.concat(F.lit("m"), (F.floor(n / 16) % 2).cast("string"))).alias("marker"), F.when(n % 3 != 0, F.col("event_type")).alias("content_hash"),
+    )
+    with SA.rocksdb(spark):
+        return ST.finished(SA.article_stream(events), "article-states").select("url", "seq", "decision")
+
+
+@query(_ctes(wire=WIRE) + "SELECT l.revision_id AS left_id, r.revision_id AS right_id FROM wire l JOIN wire r ON l.revision_id < r.revision_id AND r.fetched_epoch - l.fetched_epoch <= 21600 AND r.fetched_epoch >= l.fetched_epoch")
+def near_revisions_stream(spark, sf_dir):
+    """Revisions at most six hours apart, from two streams of them."""
+    wire = lambda: view_of(spark, "wire", _stream(spark, sf_dir, "orders")).select("revision_id", F.timestamp_seconds("fetched_epoch").alias("fetched_at"))
+    return ST.finished(SP.window_pairs_stream(wire(), wire(), 21_600), "near-revisions")

@@ -76,15 +76,21 @@ FROM events
 _VIEWS = {"wire": WIRE, "doc_revisions": DOC_REVISIONS, "fetch_log": FETCH_LOG, "claims": CLAIMS, "hits": HITS, "checks": CHECKS, "evidence": EVIDENCE}
 
 
+_SOURCES = {"wire": "orders", "doc_revisions": "documents", "hits": "pages", "claims": "orders"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables of ``sf_dir``."""
-    sources = {"wire": "orders", "doc_revisions": "documents", "hits": "pages", "claims": "orders"}
+    return view_of(spark, name, table(spark, sf_dir, _SOURCES.get(name, "events")))
+
+
+def view_of(spark: SparkSession, name: str, source: DataFrame) -> DataFrame:
+    """A view over a given table, or a stream of its rows."""
     query = _VIEWS[name].replace('"end"', "`end`")
     if name == "claims":
         query = query.replace("FROM wire", f"FROM ({WIRE}) wire")
-    source = sources.get(name, "events")
-    return spark.sql(query.replace(f"FROM {source}", "FROM {src}"), src=table(spark, sf_dir, source))
+    return spark.sql(query.replace(f"FROM {_SOURCES.get(name, 'events')}", "FROM {src}"), src=source)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 EVENT = "url string, seq long, fetched_at timestamp, marker string, content_hash string"
 DECIDED = "url string, seq long, fetched_at timestamp, marker string, content_hash string, decision string"
 STATE = "seq long, content_hash string, marker string"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def decide(known: tuple, rows: pd.DataFrame) -> tuple[tuple, list[str | None]]:
@@ -79,4 +80,15 @@ def article_stream(events: DataFrame, expires: timedelta | None = None) -> DataF
 
 def use_rocksdb(spark) -> None:
     """Keep the state of this session's streams in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set(PROVIDER, ROCKS)
+
+
+@contextmanager
+def rocksdb(spark) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, later ones where it was kept before."""
+    before = spark.conf.get(PROVIDER, None)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.settled import shared_folder
+
 OUTPUT = "url string, seq long, fetched_at timestamp, content_hash string"
 
 
@@ -44,3 +46,11 @@ def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
 def append_once(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer: a batch has a folder of its own, so a retry replaces it."""
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def finished(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream gives for what is there now, as a table in the shared folder."""
+    spark = stream.sparkSession
+    place = shared_folder(spark, name)
+    run_available(stream, f"{place}/progress", append_once(f"{place}/rows"))
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows/*")
