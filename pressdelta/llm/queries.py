@@ -156,5 +156,19 @@ every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pa
           UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
 SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM every) r
 WHERE part = 'pair' OR rank <= 200
+""",
+    "op9_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d WHERE len(h) >= 200) t),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM k) t WHERE n > 1),
+m AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -200) + 100 AS fresh FROM r),
+g AS (SELECT doc_id, p, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run),
+before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+cut AS (SELECT before.doc_id, max(b) AS b, sum(b - a) AS n, count(*) AS runs, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS pieces
+        FROM before JOIN d ON d.doc_id = before.doc_id GROUP BY before.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+       sha256(from_hex(concat(coalesce(pieces, ''), substr(h, 2 * coalesce(b, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
 """,
 }
