@@ -41,6 +41,8 @@ from .simhash import PAIR_COST, _ball, _shared_probes, _signed, correlated_group
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Fingerprints of 64 bits, and the share of pairs at the similarity that the probes shall meet.
 WORDS, RECALL = 32, 0.98
+#: Digests that different texts may share; some hundred would take 10^11 texts.
+CLASHES = 10_000
 #: Members of a bucket compared as one block, rows compared at once, shingles hashed at once.
 BLOCK, ROWS, SLAB = 1024, 8192, 255
 #: Standard deviations of the bit distance between what is sure and what the sets decide.
@@ -281,9 +283,9 @@ def _first_meeting(differ: np.ndarray, part: np.ndarray, partitions) -> np.ndarr
     return out
 
 
-def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(id, root) of texts with near copies; ``id`` is ``text_id`` of the text."""
-    texts = required(docs, "text").select(text_id().alias("id"), F.col("text").cast("string").alias("text"))
+def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, clashing: list[int] | tuple = ()) -> DataFrame:
+    """(id, root) of texts with near copies; ``id`` is ``text_id`` of the text, given the digests that clash."""
+    texts = required(docs, "text").select(text_id(clashing).alias("id"), F.col("text").cast("string").alias("text"))
     sketches = materialize(_sketches(texts).dropDuplicates(["id"]), "sketches")
     if sketches.isEmpty():
         return sketches.select("id", F.col("id").alias("root"))
@@ -394,22 +396,48 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int
     return out.select(F.col("node").alias("id"), "root")
 
 
-def text_id():
-    """The number of a text; null counts as empty."""
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _digest(text):
+    return F.xxhash64(text)
+
+
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def clashes(docs: DataFrame) -> list[int]:
+    """Digests that two different texts share, told apart by SHA-256.
+
+    Of n texts about n * n / 2^65 pairs share one: none below some 10^9 texts, three at
+    10^10, so the list is short at any size; more than ``CLASHES`` is an error.
+    """
+    shas = docs.select(_digest(_text()).alias("id"), F.sha2(F.encode(_text(), "UTF-8"), 256).alias("sha"))
+    found = shas.groupBy("id").agg(F.min("sha").alias("low"), F.max("sha").alias("high")).where("low <> high")
+    rows = found.select("id").limit(CLASHES + 1).collect()
+    if len(rows) > CLASHES:
+        raise ValueError("more texts share a digest than digests of 64 bits allow for")
+    return [r.id for r in rows]
+
+
+def text_id(clashing: list[int] | tuple = ()):
+    """The number of a text; null counts as empty. Texts of a clashing digest are numbered by their SHA-256."""
+    own = _digest(_text())
+    again = F.xxhash64(F.sha2(F.encode(_text(), "UTF-8"), 256), F.lit(1))
+    return F.when(own.isin(list(clashing)), again).otherwise(own) if clashing else own
 
 
 def drop_near_similar(docs: DataFrame) -> DataFrame:
     """One row of each group of linked near copies, that of the smallest doc_id; all columns.
 
     Equal texts are linked as well, null and empty texts and texts without words with each
-    other. A null doc_id stays only where its group has no other. Of rows that repeat
-    doc_id and text the smallest stays. An empty table gives an empty result.
+    other; different texts with one digest are not. A null doc_id stays only where its group
+    has no other. Of rows that repeat doc_id and text the smallest stays. An empty table
+    gives an empty result.
     """
-    keyed = required(docs, "doc_id", "text").select("doc_id", text_id().alias("id"))
-    roots = near_components(docs)
+    shared = clashes(docs)
+    keyed = required(docs, "doc_id", "text").select("doc_id", text_id(shared).alias("id"))
+    roots = near_components(docs, clashing=shared)
     rooted = keyed.join(roots, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
     rows = rooted.groupBy("root", "doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("first")
     kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.id").alias("_key"), F.col("first.n").alias("n"))
-    return keep_one(docs, kept, "doc_id", text_id())
+    return keep_one(docs, kept, "doc_id", text_id(shared))

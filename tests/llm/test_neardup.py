@@ -5,6 +5,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pressdelta.llm import blocks, neardup
@@ -120,3 +122,16 @@ def test_members_of_one_component_are_not_compared_again(spark):
     first = [(r.id, r.i, r.j) for r in blocks.first_units(members, sizes, 50, pivots=10).collect()]
     assert {i for i, _, _ in first} == set(range(1000)) and all(a == b for _, a, b in first)
     assert 1000 < len(first) < 1000 + 20 * 40
+
+
+def test_texts_that_share_a_digest_are_told_apart(spark, monkeypatch):
+    rows = corpus(random.Random(13))
+    rows += [(i + 1000, t) for i, t in rows[:20]]  # equal texts stay one
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert neardup.clashes(docs) == []
+    monkeypatch.setattr(neardup, "_digest", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    assert sorted(neardup.clashes(docs)) == list(range(7))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == survivors(rows)
+    monkeypatch.setattr(neardup, "CLASHES", 3)
+    with pytest.raises(ValueError):
+        neardup.clashes(docs)
