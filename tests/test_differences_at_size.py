@@ -19,7 +19,7 @@ def test_no_pair_is_shuffled(spark, name):
     assert (found.count("Join"), found.count("Exchange"), found.count("Aggregate")) == (1, 2, 0)
 
 
-@pytest.mark.parametrize("name", ["pending_analysis_flagship"])
+@pytest.mark.parametrize("name", ["pending_analysis_flagship", "findings_view"])
 def test_evidence_is_judged_once_a_revision(spark, name):
     """Every finding once redacted, parsed and judged the evidence of its peer anew."""
     found = plan(catalogue.QUERIES[name](spark, SF))
@@ -28,7 +28,7 @@ def test_evidence_is_judged_once_a_revision(spark, name):
 
 def test_pairs_are_judged_after_the_window(spark):
     """What a pair differs in stays out of the join's condition, where each row of a bucket would be asked."""
-    found = plan(catalogue.QUERIES["pending_analysis_flagship"](spark, SF))
+    found = plan(catalogue.QUERIES["findings_view"](spark, SF))
     condition = next(line for line in found.splitlines() if "SortMergeJoin" in line)
     assert "array_min" not in condition and "transform" not in condition and "array_min" in found
 
